@@ -60,13 +60,43 @@ def bounds(ring: Column) -> Column:
     )
 
 
-def centroid(ring: Column) -> Column:
-    """Area centroid; coordinates are taken relative to the first point to keep the digits."""
+def measures(ring: Column) -> Column:
+    """``struct<area,perimeter,cx,cy>`` in one walk around the ring.
+
+    Coordinates are taken relative to the first point to keep the digits of the centroid.
+    """
     o = F.get(ring, F.lit(0))
-    six_a = signed_area(ring) * 6.0
-    sx = _sum(_edges(ring, lambda a, b: (a["x"] + b["x"] - o["x"] * 2.0) * _cross(a, b, o)))
-    sy = _sum(_edges(ring, lambda a, b: (a["y"] + b["y"] - o["y"] * 2.0) * _cross(a, b, o)))
-    return point(o["x"] + F.try_divide(sx, six_a), o["y"] + F.try_divide(sy, six_a))
+    zero = F.struct(F.lit(0.0).alias("a2"), F.lit(0.0).alias("len"), F.lit(0.0).alias("sx"), F.lit(0.0).alias("sy"))
+    steps = _edges(
+        ring,
+        lambda a, b: F.struct(
+            (a["x"] - o["x"]).alias("ax"), (a["y"] - o["y"]).alias("ay"), (b["x"] - o["x"]).alias("bx"), (b["y"] - o["y"]).alias("by")
+        ),
+    )
+
+    def add(acc, e):
+        cross = e["ax"] * e["by"] - e["bx"] * e["ay"]
+        return F.struct(
+            (acc["a2"] + cross).alias("a2"),
+            (acc["len"] + F.hypot(e["bx"] - e["ax"], e["by"] - e["ay"])).alias("len"),
+            (acc["sx"] + (e["ax"] + e["bx"]) * cross).alias("sx"),
+            (acc["sy"] + (e["ay"] + e["by"]) * cross).alias("sy"),
+        )
+
+    def finish(acc):
+        return F.struct(
+            (F.abs(acc["a2"]) / 2.0).alias("area"),
+            acc["len"].alias("perimeter"),
+            (o["x"] + F.try_divide(acc["sx"], acc["a2"] * 3.0)).alias("cx"),
+            (o["y"] + F.try_divide(acc["sy"], acc["a2"] * 3.0)).alias("cy"),
+        )
+
+    return F.aggregate(steps, zero, add, finish)
+
+
+def centroid(ring: Column) -> Column:
+    m = measures(ring)
+    return point(m["cx"], m["cy"])
 
 
 def is_valid_ring(ring: Column) -> Column:

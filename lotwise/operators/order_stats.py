@@ -35,7 +35,13 @@ def global_quantiles(
     names = list(wanted)
     cols = {n: (F.col(c) if isinstance(c, str) else c).cast("double") for n, (c, _) in wanted.items()}
     probs = {n: list(p) for n, (_, p) in wanted.items()}
+    if not names:
+        return {}
     base = df.select(*[cols[n].alias(f"v{i}") for i, n in enumerate(names)])
+    if base.count() <= BRACKET_ROWS:  # every buffer is bounded by the row count just checked
+        marks = [F.array(*[F.lit(float(p)) for p in probs[n]]) for n in names]
+        row = base.agg(*[F.percentile(f"v{i}", marks[i]) for i in range(len(names))]).first()
+        return {n: [None] * len(probs[n]) if row[i] is None else list(row[i]) for i, n in enumerate(names)}
 
     delta = 2.0 / BRACKET_ACCURACY
     aggs = []
@@ -238,14 +244,18 @@ def grouped_quantiles(
     wanted: Sequence[tuple[Column, Mapping[str, float]]],
     extra: Sequence[Column] = (),
     group_rows: int = GROUP_ROWS,
+    known_max: int | None = None,
 ) -> DataFrame:
     """Exact quantiles per group, with further aggregates in ``extra``.
 
     ``wanted`` lists ``(value, {output name: probability})``. Where the largest group is small enough
     for one buffer, a plain aggregation answers. Otherwise the large groups, and only these, are
-    answered through ``value_positions``.
+    answered through ``value_positions``. A caller that can bound the group size passes ``known_max``
+    and saves the count.
     """
     keys = list(keys)
+    if known_max is not None and known_max <= group_rows:
+        return _direct_quantiles(df, keys, wanted, extra)
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
     if (sizes.agg(F.max("_rows")).first()[0] or 0) <= group_rows:
         return _direct_quantiles(df, keys, wanted, extra)

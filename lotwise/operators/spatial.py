@@ -48,11 +48,12 @@ def _divide(df: DataFrame, dense: DataFrame | None, size: float) -> DataFrame:
 
 def _dense_cells(left: DataFrame, right: DataFrame, size: float, cell_pairs: int):
     """Cells with too many comparisons and their division factor; ``False`` if there are too many."""
-    count = lambda df, n: df.groupBy("_cx", "_cy").agg(F.count(F.lit(1)).alias(n))
+    side = lambda df, l, r: df.select("_cx", "_cy", F.lit(l).alias("_l"), F.lit(r).alias("_r"))
     work = F.col("_l") * F.col("_r")
     factor = F.least(F.ceil(F.sqrt(work / F.lit(float(cell_pairs)))), F.lit(64)).cast("int")
     dense = (
-        count(left, "_l").join(count(right, "_r"), ["_cx", "_cy"])
+        side(left, 1, 0).unionByName(side(right, 0, 1))
+        .groupBy("_cx", "_cy").agg(F.sum("_l").alias("_l"), F.sum("_r").alias("_r"))
         .where(work > cell_pairs)
         .select("_cx", "_cy", factor.alias("_k"))
     )

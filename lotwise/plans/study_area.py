@@ -8,7 +8,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotwise.catalog import FEATURES
 from lotwise.functions import geometry as G
 from lotwise.operators.order_stats import grouped_quantiles
 
@@ -155,16 +154,21 @@ def model_scores(spark, sf_dir) -> DataFrame:
 
 def parcel_shape(spark, sf_dir) -> DataFrame:
     """Shape ratios, area and 300 m block of every parcel, from its ring."""
-    ring = G.rect_ring("xmin", "ymin", "xmax", "ymax")
-    p = parcels(spark, sf_dir).withColumn("ring", ring)
-    centre = G.centroid(F.col("ring"))
-    return p.select(
-        "parcel_id",
-        G.area(F.col("ring")).alias("area_m2"),
-        G.compactness(G.area(F.col("ring")), G.perimeter(F.col("ring"))).alias("compactness_ratio"),
-        G.elongation(F.col("xmin"), F.col("ymin"), F.col("xmax"), F.col("ymax")).alias("elongation_ratio"),
-        G.block_id(centre["x"], centre["y"], GRID).alias("block_id"),
-    )
-
-
-FEATURE_COLUMNS = ["parcel_id", *FEATURES]
+    p = parcels(spark, sf_dir).withColumn("ring", G.rect_ring("xmin", "ymin", "xmax", "ymax"))
+    return shape_of(p).select("parcel_id", "area_m2", "compactness_ratio", "elongation_ratio", "block_id")
+
+
+def shape_of(p: DataFrame) -> DataFrame:
+    p = p.withColumn("_m", G.measures(F.col("ring"))).withColumn("_b", G.bounds(F.col("ring")))
+    m, b = F.col("_m"), F.col("_b")
+    return p.withColumns(
+        {
+            "area_m2": m["area"],
+            "perimeter_m": m["perimeter"],
+            "cx": m["cx"],
+            "cy": m["cy"],
+            "compactness_ratio": G.compactness(m["area"], m["perimeter"]),
+            "elongation_ratio": G.elongation(b["xmin"], b["ymin"], b["xmax"], b["ymax"]),
+            "block_id": G.block_id(m["cx"], m["cy"], GRID),
+        }
+    ).drop("_m", "_b")
