@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType
 
 from lotwise.catalog import MAX_COVERAGE_RATIO
 from lotwise.functions import geometry as G
@@ -160,12 +161,12 @@ def overlap_area(p: np.ndarray, q: np.ndarray) -> float:
     return abs(sum(sp * sq * _clip_triangle(tp, tq) for sp, tp in left for sq, tq in right))
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def touch_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([rings_touch(_arr(x), _arr(y)) for x, y in zip(a, b)])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def overlap_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([overlap_area(_arr(x), _arr(y)) for x, y in zip(a, b)])
 
