@@ -25,8 +25,8 @@ def q(text: str) -> str:
 
 
 def R(expr: str, name: str | None = None) -> str:
-    """Six digits, without negative zero."""
-    return f"round({expr}, 6) + 0.0::double as {name or expr}"
+    """Six digits, ties upward, without negative zero."""
+    return f"round_even((({expr})::double + 3.7e-10::double)*1000000.0::double, 0)/1000000.0::double + 0.0::double as {name or expr}"
 
 
 def RS(*names: str) -> str:
@@ -162,7 +162,7 @@ CTE: dict[str, str] = {
       4*pi()*w*h/((2*(w+h))*(2*(w+h))) compactness_ratio, greatest(w,h)/least(w,h) elongation_ratio,
       cast(trunc((xmin+xmax)/2/300) as bigint) || '_' || cast(trunc((ymin+ymax)/2/300) as bigint) block_id
       from (select *, xmax-xmin w, ymax-ymin h from fx_parcels)""",
-    "built": """select p.parcel_id, coalesce(sum((least(p.xmax,b.xmax)-greatest(p.xmin,b.xmin))*(least(p.ymax,b.ymax)-greatest(p.ymin,b.ymin))),0.0::double) built_area
+    "built": """select p.parcel_id, coalesce(sum((least(p.xmax,b.xmax)-greatest(p.xmin,b.xmin))*(least(p.ymax,b.ymax)-greatest(p.ymin,b.ymin))) filter (where b.building_id is not null),0.0::double) built_area
       from fx_parcels p left join fx_buildings b on p.xmin<=b.xmax and b.xmin<=p.xmax and p.ymin<=b.ymax and b.ymin<=p.ymax group by p.parcel_id""",
     "ces": """select parcel_id, ces_existant, greatest(0.0::double, 0.40::double-ces_existant) ces_residuel,
       greatest(0.0::double, 0.40::double-ces_existant)*area_m2 emprise_residuelle_m2 from (
@@ -267,6 +267,27 @@ _given_runs = "select run, parcel_id, ((parcel_id*31+run*run*17+run*7)%1009)/100
 CTE["runs"] = _given_runs
 CTE["intervals"] = "select parcel_id, avg(p) cpi_ml_mean, stddev_pop(p) cpi_ml_std, quantile_cont(p,0.025) cpi_ml_ci_low, quantile_cont(p,0.975) cpi_ml_ci_high from runs group by parcel_id"
 CTE["topfold"] = "select *, row_number() over (partition by fold order by score desc, parcel_id) rn, row_number() over (partition by fold order by label desc, parcel_id) rl from ranking"
+# folds: largest block first, each to the first of the lightest folds
+CTE["sized"] = "select block_id, n, row_number() over (order by n desc, block_id) i from (select block_id, count(*) n from scored where is_valid and proxy_label<>-1 group by block_id)"
+CTE["packed"] = """select 0::bigint i, [0,0,0,0,0]::bigint[] loads, -1::bigint fold, ''::varchar block_id union all
+  select z.i, list_concat(list_concat(loads[1:f-1], [loads[f]+z.n]), loads[f+1:]), f-1, z.block_id
+  from (select *, list_position(loads, list_min(loads)) f from packed) k join sized z on z.i=k.i+1"""
+# bisection for tau
+_mix = f"((p+h+m+s)/4.0::double)*0.70::double+{softmin(['p', 'h', 'm', 's'], '((lo+hi)/2)')}*0.30::double"
+for _n, _target in (("bis14", 14.3), ("bis18", 18.0)):
+    CTE[_n] = f"""select 0 i, 0.5::double lo, 100.0::double hi union all select i+1,
+      case when sd<{_target} then lo else (lo+hi)/2 end, case when sd<{_target} then (lo+hi)/2 else hi end
+      from (select i, lo, hi, stddev_pop({_mix}) sd from {_n} cross join tau_groups where i<50 group by i, lo, hi)"""
+CTE["tau_of"] = "select (lo+hi)/2 tau_v from bis18 where i=50"
+# the score chain once more, with the calibrated tau
+CTE["raw0_t"] = CTE["raw0"].replace("/10.0::double)", "/tau_v::double)") + " cross join tau_of"
+CTE["raw1_t"] = CTE["raw1"].replace("raw0", "raw0_t")
+CTE["gated_t"] = CTE["gated"].replace("raw1", "raw1_t")
+CTE["final0_t"] = CTE["final0"].replace("/10.0::double)", "/tau_v::double)").replace("gated", "gated_t")
+CTE["comp"] = "select r, c, r*2147483648::bigint+c k from flat where flat=1"
+CTE["reach"] = """select k root, r, c from comp union select h.root, x.r, x.c from reach h cross join (values (0,1),(0,-1),(1,0),(-1,0)) o(dr,dc)
+  join comp x on x.r=h.r+o.dr and x.c=h.c+o.dc"""
+RECURSIVE = {"walk", "packed", "bis14", "bis18", "reach"}
 _order = list(CTE)
 ORACLE: dict[str, str] = {}
 
@@ -293,7 +314,7 @@ def put(name: str, sql: str) -> None:
 
     for n in used:
         visit(n)
-    recursive = "recursive " if "walk" in done else ""
+    recursive = "recursive " if RECURSIVE.intersection(done) else ""
     prefix = ", ".join(f"{n} as ({CTE[n]})" for n in done)
     ORACLE[name] = f"with {recursive}{prefix} {sql}" if prefix else sql
 
@@ -313,10 +334,9 @@ def lambert(source: str) -> str:
     t = f"(tan(pi()/4-radians(lat)/2)/power((1-{es})/(1+{es}), {p['e'] / 2!r}::double))"
     rho = f"({p['c']!r}::double*power({t}, {p['n']!r}::double))"
     th = f"({p['n']!r}::double*(radians(lon)-{p['lon0']!r}::double))"
-    return (
-        f"select id, {R(f'{p['x0']!r}::double+{rho}*sin({th})', 'x')}, "
-        f"{R(f'{p['y0'] + p['rho0']!r}::double-{rho}*cos({th})', 'y')} from ({source})"
-    )
+    mm = lambda e: f"round_even(({e})*1000.0::double,0)/1000.0::double"
+    x, y = f"{p['x0']!r}::double+{rho}*sin({th})", f"{p['y0'] + p['rho0']!r}::double-{rho}*cos({th})"
+    return f"select id, {R(mm(x), 'x')}, {R(mm(y), 'y')} from ({source})"
 
 
 put("scan_points", lambert(_LONLAT))
@@ -354,8 +374,8 @@ put("normalize_zone", f"select zone_id, {_ZN} zone_norm from fx_zones")
 put("bbox_filter", f"select parcel_id, {RS('xmin', 'ymin', 'xmax', 'ymax')} from fx_parcels where xmax>=926000 and xmin<=927500 and ymax>=6500000 and ymin<=6502000")
 _fam = []
 for _name, _cols in K.FAMILY_COLUMNS.items():
-    _ok = "false" if "svf_mean" in _cols or _name == "tri" else "(" + "+".join(f"count({c})" for c in _cols) + ")>0"
-    _fam.append(f"select {q(_name)} family, {_ok} available from features")
+    _sum = "+".join(f"count({c})" for c in _cols)
+    _fam.append(f"select {q(_name)} family, " + ("false available" if "svf_mean" in _cols or _name == "tri" else f"({_sum})>0 available from features"))
 put("feature_availability", " union all ".join(_fam))
 put("drop_all_null", f"select parcel_id, {RS('cluster_score', 'CPI_ML_v3', 'CPI_market', 'CPI_preference')} from scored where coalesce(cluster_score,CPI_ML_v3,CPI_market,CPI_preference) is not null")
 _TEXT = {"commune", "is_valid", "proxy_label", "block_id", "CPI_v3_label", "CPI_technique_label", "gate_reason", "zone_plu", "shape_warning", "ces_warning", "n_approaches_used", "CPI_valeur_label"}
@@ -555,7 +575,7 @@ put("consensus_meta", f"""select 4 available_count, {R('median(consensus_score)'
 put("top_k", f"select parcel_id, {RS('CPI_ML_v3', 'CPI_v3', 'slope_p50', 'slope_p90', 'svf_mean', 'twi_mean', 'surface_m2')} from (select * from scored where is_valid order by CPI_ML_v3 desc nulls last, parcel_id limit 5)")
 put("ranked_top10", f"""select parcel_id, {RS('CPI_technique', 'consensus_confidence', 'slope_p90', 'surface_m2')}, rang::int rang from (
   select *, row_number() over (order by CPI_technique desc, parcel_id) rang from screened) where rang<=10""")
-put("value_percentile", f"select parcel_id, {RS('svf_mean')}, {R('case when svf_mean is not null then (rank() over (order by svf_mean nulls last)-1)/(count(*) over ())::double end', 'share_below')} from fx_features")
+put("value_percentile", f"select parcel_id, {RS('cluster_score')}, {R('case when cluster_score is not null then (rank() over (order by cluster_score nulls last)-1)/(count(*) over ())::double end', 'share_below')} from fx_features")
 put("minmax_profile", "select parcel_id, " + ", ".join(("0.5::double svf_mean" if c == "svf_mean" else R(f"({c}-min({c}) over ())/(max({c}) over ()-min({c}) over ())", c)) for c in FEATURES) + " from fx_features")
 
 # --- screening -----------------------------------------------------------------------------------------------
@@ -593,3 +613,15 @@ put("alerts", f"""select parcel_id, array_to_string(list_filter([{_w('brgm_argil
 # --- incremental recomputation -----------------------------------------------------------------------------
 put("incremental_refresh", f"select l_partkey parcel_id, {R('sum(l_quantity)', 'total_q')}, l_partkey%5<>0 and l_partkey%11<>0 reused from lineitem group by 1")
 put("family_refresh", f"select s.parcel_id, {RS('compactness_ratio', 'elongation_ratio')}, brgm_argiles_flag, brgm_mvt_terrain_flag from shape s join flags f on s.parcel_id=f.parcel_id")
+
+put("group_kfold", "select s.parcel_id, s.block_id, p.fold::int fold from scored s join packed p on s.block_id=p.block_id where s.is_valid and s.proxy_label<>-1")
+put("calibrate_tau", f"select (select count(*) from tau_groups) n, {R('(lo+hi)/2', 'tau')} from bis14 where i=50")
+put("flagship_top_parcels", f"""select parcel_id, {RS('CPI_v3')}, {ladder('CPI_v3', K.LADDER_FINAL)} CPI_v3_label, {RS('CPI_technique', 'gate_factor')}, gate_reason, {RS('slope_p90', 'surface_m2')}, rang::int rang
+  from (select *, row_number() over (order by CPI_v3 desc, parcel_id) rang from final0_t where is_valid) where rang<=10""")
+put("flat_components", "select r, c, min(root)::bigint component from reach group by r, c")
+_DISC = "coalesce(case when {0}.rn<=20 then 1/log2({0}.rn+1) end, 0)"
+put("ranking_gradients", f"""select b.parcel_id, {R('coalesce(g1,0)+coalesce(g2,0)', 'grad')}, {R('coalesce(k1,0)+coalesce(k2,0)', 'hess')} from (select parcel_id from ranking) b left join (
+  select id, sum(g) g1, sum(k) k1 from pairs group by id) x on x.id=b.parcel_id left join (select head, -sum(g) g2, sum(k) k2 from pairs where rn>20 group by head) y on y.head=b.parcel_id""".replace(
+    "pairs", f"""(select j.parcel_id id, i.parcel_id head, j.rn, (j.label-i.label)*rho*w g, rho*(1-rho)*w k from topfold j join topfold i on i.fold=j.fold and i.rn<=20 and i.label<>j.label
+  join (select fold, sum(label/log2(rl+1)) filter (where rl<=20) ideal from topfold group by fold) d on d.fold=j.fold,
+  lateral (select 1/(1+exp((j.label-i.label)*(j.score-i.score)/10.0::double)) rho, abs({_DISC.format('i')}-{_DISC.format('j')})/nullif(ideal,0) w))"""))

@@ -10,6 +10,7 @@ from pyspark.sql.types import DoubleType, FloatType
 
 from lotwise import catalog as K
 from lotwise.functions import geometry as G
+from lotwise.functions.numeric import half_even
 from lotwise.operators import (
     bootstrap, cleaning, clustering, consensus, evaluation, joins, labeling, models, raster, reporting, scoring,
     screening, spatial, terrain_flow, zonal,
@@ -32,11 +33,11 @@ PROFILE_WEIGHTS = {                   # a fixed linear score, explained exactly
 
 
 def rounded(df: DataFrame) -> DataFrame:
-    """Six digits on every floating column, so that results compare across engines."""
+    """Six digits on every floating column, ties upward, so that results compare across engines."""
     out = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
-        out.append(F.round(c.cast("double"), 6).alias(f.name) if isinstance(f.dataType, (DoubleType, FloatType)) else c)
+        out.append((F.rint((c.cast("double") + 3.7e-10) * 1e6) / 1e6 + 0.0).alias(f.name) if isinstance(f.dataType, (DoubleType, FloatType)) else c)
     return df.select(*out)
 
 
@@ -94,7 +95,7 @@ def _(spark, sf):
 
 @query("scan_points")
 def _(spark, sf):
-    return readers.scan_points(lonlat(spark, sf))
+    return readers.scan_points(lonlat(spark, sf)).select("id", half_even(F.col("x"), 3).alias("x"), half_even(F.col("y"), 3).alias("y"))
 
 
 @query("scan_raster_cells")
@@ -392,7 +393,7 @@ def _(spark, sf):
 def _(spark, sf):
     pts = S.table(spark, sf, "orders").selectExpr("o_orderkey as id", "(o_orderkey%1000)/100.0D-2.0D lon", "42.0D+(o_orderkey%877)/100.0D lat")
     xy = pts.withColumn("p", G.to_lambert93(F.col("lon"), F.col("lat")))
-    return xy.select("id", F.col("p.x").alias("x"), F.col("p.y").alias("y"))
+    return xy.select("id", half_even(F.col("p.x"), 3).alias("x"), half_even(F.col("p.y"), 3).alias("y"))
 
 
 # --- raster ------------------------------------------------------------------------------------------------
@@ -776,7 +777,7 @@ def _(spark, sf):
 
 @query("validate_labels")
 def _(spark, sf):
-    agreement, _ = clustering.validate_labels(P.scored(spark, sf).where("is_valid"))
+    agreement, _ = clustering.validate_labels(P.scored(spark, sf).where("is_valid"), restarts=2)
     return agreement
 
 
@@ -986,7 +987,7 @@ def _(spark, sf):
 
 @query("value_percentile")
 def _(spark, sf):
-    return consensus.value_percentile(P.features(spark, sf), "svf_mean")
+    return consensus.value_percentile(P.features(spark, sf), "cluster_score")
 
 
 @query("minmax_profile")
