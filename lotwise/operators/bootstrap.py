@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lotwise.operators.models import fit_boosted
-from lotwise.session import materialise
+from lotwise.session import materialise, side_by_side
 
 RATE = 0.8
 
@@ -41,11 +41,14 @@ def bootstrap_weights(df: DataFrame, runs: int = 100, key: str = "parcel_id") ->
 
 def bootstrap_scores(labelled: DataFrame, valid: DataFrame, features: Sequence[str], runs: int = 100, label: str = "proxy_label", key: str = "parcel_id", **params) -> DataFrame:
     """Scores (run, key, p) of a boosted classifier fitted on each draw, min-maxed per run."""
-    parts = []
-    for run in range(runs):
+    def fit(run: int):
         drawn = labelled.withColumn("_w", poisson_weight(F.col(key), run).cast("double")).where(F.col("_w") > 0)
-        score = fit_boosted(drawn, features, label, weightCol="_w", **{"seed": 42 + run, **params})
-        parts.append(score(valid.select(key, *features)).select(F.lit(run).alias("run"), key, F.col("score").alias("_p")))
+        return fit_boosted(drawn, features, label, weightCol="_w", **{"seed": 42 + run, **params})
+
+    scorers = side_by_side(labelled.sparkSession, [lambda r=r: fit(r) for r in range(runs)])
+    parts = [
+        score(valid.select(key, *features)).select(F.lit(r).alias("run"), key, F.col("score").alias("_p")) for r, score in enumerate(scorers)
+    ]
     long = materialise(reduce(DataFrame.unionByName, parts), "bootstrap-scores")
     ends = long.groupBy("run").agg(F.min("_p").alias("_a"), F.max("_p").alias("_b"))  # one row per run
     return long.join(F.broadcast(ends), "run").select(

@@ -13,7 +13,7 @@ from lotwise import catalog as K
 from lotwise.functions.numeric import add_all, clip
 from lotwise.operators.cleaning import median_impute
 from lotwise.operators.order_stats import grouped_quantiles
-from lotwise.session import materialise
+from lotwise.session import materialise, side_by_side
 
 PROFILE_COLUMNS = [*K.CLUSTER_LOWER_IS_BETTER, *K.CLUSTER_HIGHER_IS_BETTER]
 
@@ -42,11 +42,9 @@ def kmeans4(df: DataFrame, columns: Sequence[str], k: int = 4, seed: int = 42, r
     scaled = standard_scale(median_impute(df, cols, 0.0), cols)
     points = VectorAssembler(inputCols=["z_" + c for c in cols], outputCol="vec").transform(scaled).select(key, "vec")
     points = materialise(points, "kmeans-points")  # scanned by every start
-    best = None
-    for i in range(restarts):
-        model = KMeans(k=k, seed=seed + i, maxIter=50, featuresCol="vec", predictionCol="cluster_id").fit(points)
-        if best is None or model.summary.trainingCost < best.summary.trainingCost:
-            best = model
+    start = lambda i: KMeans(k=k, seed=seed + i, maxIter=50, featuresCol="vec", predictionCol="cluster_id").fit(points)
+    fitted = side_by_side(df.sparkSession, [lambda i=i: start(i) for i in range(restarts)])
+    best = min(fitted, key=lambda m: m.summary.trainingCost)
     return best.transform(points).select(key, "cluster_id"), [list(map(float, c)) for c in best.clusterCenters()], cols
 
 

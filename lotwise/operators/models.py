@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from lotwise import catalog as K
 from lotwise.functions.numeric import add_all, half_even
 from lotwise.operators.evaluation import fold_metrics
-from lotwise.session import cut_lineage, materialise
+from lotwise.session import cut_lineage, materialise, side_by_side
 
 Scorer = Callable[[DataFrame], DataFrame]
 
@@ -155,10 +155,9 @@ def fit_ranker(
 # --- cross-validation ----------------------------------------------------------------------------------------
 def cross_validate(df: DataFrame, fit: Callable[[DataFrame], Scorer], name: str, folds: Iterable[int]) -> DataFrame:
     """Out-of-fold scores of one model: a fit per fold, each on the rows of the other folds."""
-    parts = []
-    for f in folds:
-        score = fit(df.where(F.col("fold") != f))
-        parts.append(score(df.where(F.col("fold") == f)))
+    folds = list(folds)
+    scorers = side_by_side(df.sparkSession, [lambda f=f: fit(df.where(F.col("fold") != f)) for f in folds])
+    parts = [score(df.where(F.col("fold") == f)) for f, score in zip(folds, scorers)]
     return reduce(DataFrame.unionByName, parts).withColumn("model", F.lit(name))
 
 

@@ -20,43 +20,65 @@ CELL_PAIRS = 4_000_000   # comparisons within one cell before it is divided furt
 MAX_DENSE_CELLS = 10_000
 
 
-def _cell(v: Column, size: float) -> Column:
+def _cell(v: Column, size: Column | float) -> Column:
     return F.floor(v / size).cast("long")
 
 
-def _spread(df: DataFrame, size: float) -> DataFrame:
-    """One row per grid cell that the box touches."""
-    xs = F.sequence(_cell(F.col("xmin"), size), _cell(F.col("xmax"), size))
-    ys = F.sequence(_cell(F.col("ymin"), size), _cell(F.col("ymax"), size))
+def _level(size: float) -> Column:
+    """Zero for boxes up to eight cells wide; one more for every doubling beyond."""
+    widest = F.greatest(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin"))
+    return F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(widest, F.lit(1e-9)) / (8.0 * size)))).cast("int")
+
+
+def _levels_present(left: DataFrame, right: DataFrame, size: float) -> tuple[list[int], list[int]]:
+    """Levels on each side: a handful of numbers, as a level is the logarithm of a width."""
+    both = left.select(_level(size).alias("l"), F.lit(0).alias("side")).unionByName(right.select(_level(size).alias("l"), F.lit(1).alias("side")))
+    rows = both.groupBy("side").agg(F.collect_set("l").alias("ls")).collect()
+    found = {r["side"]: sorted(r["ls"]) for r in rows}
+    return found.get(0, []), found.get(1, [])
+
+
+def _spread(df: DataFrame, size: float, other: list[int]) -> DataFrame:
+    """One row per grid cell that the box touches, at its own level and at every coarser one of the other
+    side. A level has cells twice as wide as the one before, so no box is spread over more than some
+    eighty cells per level, however large it is."""
+    df = df.withColumn("_own", _level(size))
+    coarser = [F.when(F.col("_own") < l, F.lit(l)) for l in other if l > 0]
+    levels = F.array_compact(F.array(F.col("_own"), *coarser)) if coarser else F.array(F.col("_own"))
+    df = df.withColumn("_lvl", F.explode(levels)).withColumn("_s", F.pow(F.lit(2.0), F.col("_lvl")) * size)
+    s = F.col("_s")
+    xs = F.sequence(_cell(F.col("xmin"), s), _cell(F.col("xmax"), s))
+    ys = F.sequence(_cell(F.col("ymin"), s), _cell(F.col("ymax"), s))
     return df.withColumn("_cx", F.explode(xs)).withColumn("_cy", F.explode(ys))
 
 
-def _sub(v: Column, cell: Column, size: float, k: Column) -> Column:
+def _sub(v: Column, cell: Column, size: Column, k: Column) -> Column:
     at = F.floor((v - cell * size) / size * k).cast("long")
     return F.least(F.greatest(at, F.lit(0)), k - 1)
 
 
-def _divide(df: DataFrame, dense: DataFrame | None, size: float) -> DataFrame:
+def _divide(df: DataFrame, dense: DataFrame | None) -> DataFrame:
     """Within dense cells, one row per sub-cell that the box touches."""
     if dense is None:
         return df.withColumn("_k", F.lit(1)).withColumn("_sx", F.lit(0)).withColumn("_sy", F.lit(0))
-    df = df.join(F.broadcast(dense), ["_cx", "_cy"], "left").withColumn("_k", F.coalesce("_k", F.lit(1)))
-    k, cx, cy = F.col("_k"), F.col("_cx"), F.col("_cy")
-    xs = F.sequence(_sub(F.col("xmin"), cx, size, k), _sub(F.col("xmax"), cx, size, k))
-    ys = F.sequence(_sub(F.col("ymin"), cy, size, k), _sub(F.col("ymax"), cy, size, k))
+    df = df.join(F.broadcast(dense), ["_lvl", "_cx", "_cy"], "left").withColumn("_k", F.coalesce("_k", F.lit(1)))
+    k, cx, cy, s = F.col("_k"), F.col("_cx"), F.col("_cy"), F.col("_s")
+    xs = F.sequence(_sub(F.col("xmin"), cx, s, k), _sub(F.col("xmax"), cx, s, k))
+    ys = F.sequence(_sub(F.col("ymin"), cy, s, k), _sub(F.col("ymax"), cy, s, k))
     return df.withColumn("_sx", F.explode(xs)).withColumn("_sy", F.explode(ys))
 
 
-def _dense_cells(left: DataFrame, right: DataFrame, size: float, cell_pairs: int):
+def _dense_cells(left: DataFrame, right: DataFrame, cell_pairs: int):
     """Cells with too many comparisons and their division factor; ``False`` if there are too many."""
-    side = lambda df, l, r: df.select("_cx", "_cy", F.lit(l).alias("_l"), F.lit(r).alias("_r"))
+    at = ["_lvl", "_cx", "_cy"]
+    side = lambda df, l, r: df.select(*at, F.lit(l).alias("_l"), F.lit(r).alias("_r"))
     work = F.col("_l") * F.col("_r")
     factor = F.least(F.ceil(F.sqrt(work / F.lit(float(cell_pairs)))), F.lit(64)).cast("int")
     dense = (
         side(left, 1, 0).unionByName(side(right, 0, 1))
-        .groupBy("_cx", "_cy").agg(F.sum("_l").alias("_l"), F.sum("_r").alias("_r"))
+        .groupBy(*at).agg(F.sum("_l").alias("_l"), F.sum("_r").alias("_r"))
         .where(work > cell_pairs)
-        .select("_cx", "_cy", factor.alias("_k"))
+        .select(*at, factor.alias("_k"))
     )
     rows = dense.limit(MAX_DENSE_CELLS + 1).collect()
     if not rows:
@@ -71,26 +93,29 @@ def box_join(
 ) -> DataFrame:
     """Inner join of all pairs whose boxes touch (boundaries count).
 
-    A pair that shares several cells is kept only in the cell of its corner (greatest xmin, greatest
-    ymin), so no ``distinct`` is needed. Cells where both sides pile up are divided.
+    A pair meets at the coarser of its two levels. One that shares several cells there is kept only in the
+    cell of its corner (greatest xmin, greatest ymin), so no ``distinct`` is needed. Cells where both
+    sides pile up are divided.
     """
-    lcells, rcells = _spread(left, size), _spread(right, size)
-    dense = _dense_cells(lcells, rcells, size, cell_pairs)
+    in_left, in_right = _levels_present(left, right, size)
+    lcells, rcells = _spread(left, size, in_right), _spread(right, size, in_left)
+    dense = _dense_cells(lcells, rcells, cell_pairs)
     if dense is False:
         return box_join(left, right, size / 8.0, prefix, cell_pairs)
-    lcells, rcells = _divide(lcells, dense, size), _divide(rcells, dense, size)
-    keys = ["_cx", "_cy", "_sx", "_sy"]
-    rcells = rcells.drop("_k").select(*keys, *[F.col(c).alias(prefix + c) for c in right.columns])
+    lcells, rcells = _divide(lcells, dense), _divide(rcells, dense)
+    keys = ["_lvl", "_cx", "_cy", "_sx", "_sy"]
+    rcells = rcells.select(*keys, F.col("_own").alias("_rown"), *[F.col(c).alias(prefix + c) for c in right.columns])
     r = lambda c: F.col(prefix + c)
-    corner_x, corner_y = F.greatest("xmin", r("xmin")), F.greatest("ymin", r("ymin"))
+    corner_x, corner_y, s = F.greatest("xmin", r("xmin")), F.greatest("ymin", r("ymin")), F.col("_s")
     pairs = lcells.join(rcells, keys).where(
         (F.col("xmin") <= r("xmax")) & (r("xmin") <= F.col("xmax"))
         & (F.col("ymin") <= r("ymax")) & (r("ymin") <= F.col("ymax"))
-        & (_cell(corner_x, size) == F.col("_cx")) & (_cell(corner_y, size) == F.col("_cy"))
-        & (_sub(corner_x, F.col("_cx"), size, F.col("_k")) == F.col("_sx"))
-        & (_sub(corner_y, F.col("_cy"), size, F.col("_k")) == F.col("_sy"))
+        & (F.col("_lvl") == F.greatest("_own", "_rown"))
+        & (_cell(corner_x, s) == F.col("_cx")) & (_cell(corner_y, s) == F.col("_cy"))
+        & (_sub(corner_x, F.col("_cx"), s, F.col("_k")) == F.col("_sx"))
+        & (_sub(corner_y, F.col("_cy"), s, F.col("_k")) == F.col("_sy"))
     )
-    return pairs.drop(*keys, "_k")
+    return pairs.drop(*keys, "_k", "_s", "_own", "_rown")
 
 
 # --- exact predicates for general polygons ---------------------------------------------------------
@@ -246,6 +271,19 @@ def coverage(areas: DataFrame, max_ratio: float = MAX_COVERAGE_RATIO) -> DataFra
     )
 
 
+def _pieces(segments: DataFrame, longest: float) -> DataFrame:
+    """Long segments cut into equal pieces, so that their boxes stay small."""
+    span = F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))
+    n = F.greatest(F.ceil(span / longest), F.lit(1)).cast("int")
+    cut = segments.withColumn("_n", n).withColumn("_i", F.explode(F.sequence(F.lit(0), n - 1)))
+    along = lambda a, b, i: F.col(a) + (F.col(b) - F.col(a)) * (i / F.col("_n"))
+    i, j = F.col("_i"), F.col("_i") + 1
+    return cut.select(
+        "x1", "y1", "x2", "y2",
+        along("x1", "x2", i).alias("_x1"), along("y1", "y2", i).alias("_y1"), along("x1", "x2", j).alias("_x2"), along("y1", "y2", j).alias("_y2"),
+    )
+
+
 def nearest_segment_distance(
     points: DataFrame, segments: DataFrame, size: float, key: str = "parcel_id", out: str = "dist_road_m"
 ) -> DataFrame:
@@ -271,15 +309,17 @@ def nearest_segment_distance(
     while True:
         last = size > span
         near = size * (1 + math.sqrt(0.5)) + 1e-6
+        pieces = _pieces(segments.select("x1", "y1", "x2", "y2").distinct(), 8.0 * size)
         reach = lambda lo, hi: F.sequence(_cell(lo - near, size), _cell(hi + near, size))
         seg = (
-            segments.select("x1", "y1", "x2", "y2").distinct()
-            .withColumn("_cx", F.explode(reach(F.least("x1", "x2"), F.greatest("x1", "x2"))))
-            .withColumn("_cy", F.explode(reach(F.least("y1", "y2"), F.greatest("y1", "y2"))))
+            pieces
+            .withColumn("_cx", F.explode(reach(F.least("_x1", "_x2"), F.greatest("_x1", "_x2"))))
+            .withColumn("_cy", F.explode(reach(F.least("_y1", "_y2"), F.greatest("_y1", "_y2"))))
         )
         s = [F.col(c) for c in ("x1", "y1", "x2", "y2")]
-        centre = G.segment_distance((F.col("_cx") + 0.5) * size, (F.col("_cy") + 0.5) * size, *s)
-        seg = seg.where(centre <= near)
+        piece = [F.col(c) for c in ("_x1", "_y1", "_x2", "_y2")]
+        centre = G.segment_distance((F.col("_cx") + 0.5) * size, (F.col("_cy") + 0.5) * size, *piece)
+        seg = seg.where(centre <= near).select("_cx", "_cy", "x1", "y1", "x2", "y2").distinct()
         cells = todo.withColumn("_cx", _cell(F.col("px"), size)).withColumn("_cy", _cell(F.col("py"), size))
         got = (
             cells.join(seg, ["_cx", "_cy"])

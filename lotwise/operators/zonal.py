@@ -22,11 +22,15 @@ def _bucket(v: Column, width: float) -> Column:
     return F.floor(v / width).cast("long")
 
 
-def _near_cells(cells: DataFrame, zones: DataFrame, key: str, reach: float, width: float) -> DataFrame:
+def _near_cells(cells: DataFrame, zones: DataFrame, key: str, reach: float, width: float | None) -> DataFrame:
     """Cells within the box of each zone, widened by ``reach``: equi-join on buckets, then the box.
 
-    A cell lies in one bucket; only the zones, far fewer, are spread over the buckets they touch.
+    A cell lies in one bucket; only the zones, far fewer, are spread over the buckets they touch. Buckets
+    are about as wide as the mean zone, unless ``width`` is given.
     """
+    if width is None:
+        side = F.avg(F.greatest(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin")))
+        width = max((zones.agg(side).first()[0] or 0.0) + 2 * reach, 4.0)
     span = lambda lo, hi: F.sequence(_bucket(F.col(lo) - reach, width), _bucket(F.col(hi) + reach, width))
     shape = ["xmin", "ymin", "xmax", "ymax", *(["ring"] if "ring" in zones.columns else [])]
     spread = (
@@ -42,7 +46,7 @@ def _near_cells(cells: DataFrame, zones: DataFrame, key: str, reach: float, widt
     return placed.join(spread, ["_bx", "_by"]).where(inside).drop("_bx", "_by")
 
 
-def cells_in_polygons(cells: DataFrame, zones: DataFrame, key: str = "parcel_id", width: float = 64.0) -> DataFrame:
+def cells_in_polygons(cells: DataFrame, zones: DataFrame, key: str = "parcel_id", width: float | None = None) -> DataFrame:
     """Pairs (zone, cell) whose centre lies inside the polygon."""
     near = _near_cells(cells, zones, key, 0.0, width)
     if "ring" in zones.columns:
@@ -50,7 +54,7 @@ def cells_in_polygons(cells: DataFrame, zones: DataFrame, key: str = "parcel_id"
     return near.drop("xmin", "ymin", "xmax", "ymax")
 
 
-def cells_within(cells: DataFrame, zones: DataFrame, distance: float = K.HEIGHT_BUFFER_M, key: str = "parcel_id", width: float = 64.0) -> DataFrame:
+def cells_within(cells: DataFrame, zones: DataFrame, distance: float = K.HEIGHT_BUFFER_M, key: str = "parcel_id", width: float | None = None) -> DataFrame:
     """Pairs (zone, cell) whose centre lies within ``distance`` of the polygon."""
     near = _near_cells(cells, zones, key, distance, width)
     x, y = F.col("x"), F.col("y")

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 _local_roots: dict[str, str] = {}
@@ -62,3 +65,10 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(spark, label)
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def side_by_side(spark: SparkSession, tasks: Sequence[Callable], workers: int = 4) -> list:
+    """Run independent Spark jobs (fits of folds, restarts, draws) a few at a time; results in order."""
+    wrap = inheritable_thread_target(spark)
+    with ThreadPoolExecutor(min(workers, max(1, len(tasks)))) as pool:
+        return [f.result() for f in [pool.submit(wrap(t)) for t in tasks]]
