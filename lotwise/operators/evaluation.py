@@ -32,7 +32,7 @@ def group_kfold(df: DataFrame, n_folds: int = 5, block: str = "block_id", greedy
         folds.append((row[block], f))
     schema = f"{block} {df.schema[block].dataType.simpleString()}, fold int"
     table = df.sparkSession.createDataFrame(folds, schema)
-    out = df.join(F.broadcast(table), block, "left")
+    out = df.drop("fold").join(F.broadcast(table), block, "left")
     if many:
         out = out.withColumn("fold", F.coalesce("fold", F.pmod(F.xxhash64(block), F.lit(k)).cast("int")))
     return out
