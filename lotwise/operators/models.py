@@ -25,6 +25,9 @@ from lotwise.functions.numeric import add_all, half_even
 from lotwise.operators.evaluation import fold_metrics
 from lotwise.session import cut_lineage, materialise, side_by_side
 
+# fixed values: combinations tried for the ranker
+RANKER_GRID = {"n_estimators": [100, 200, 300], "max_depth": [3, 4, 5], "learning_rate": [0.03, 0.05, 0.1]}
+
 Scorer = Callable[[DataFrame], DataFrame]
 
 

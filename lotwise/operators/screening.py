@@ -79,11 +79,12 @@ def shortlist(df: DataFrame, requests: DataFrame, request_col: str = "requested"
 
 
 def _digits(c: Column, digits: int) -> Column:
-    return F.format_string(f"%.{digits}f", half_even(c, digits))
+    """Printed number; settled to six digits first, so noise in the last bits flips no printed digit."""
+    return F.format_string(f"%.{digits}f", half_even(half_even(c, 6), digits))
 
 
 def _percent(c: Column) -> Column:
-    return F.concat(F.format_string("%.0f", half_even(c * 100.0, 0)), F.lit("%"))
+    return F.concat(F.format_string("%.0f", half_even(half_even(c, 6) * 100.0, 0)), F.lit("%"))
 
 
 def _listed(items: Sequence[Column], default: Sequence[str]) -> Column:

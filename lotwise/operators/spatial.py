@@ -69,7 +69,7 @@ def _divide(df: DataFrame, dense: DataFrame | None) -> DataFrame:
 
 
 def _dense_cells(left: DataFrame, right: DataFrame, cell_pairs: int):
-    """Cells with too many comparisons and their division factor; ``False`` if there are too many."""
+    """The densest cells with too many comparisons, their division factor, and whether there were more."""
     at = ["_lvl", "_cx", "_cy"]
     side = lambda df, l, r: df.select(*at, F.lit(l).alias("_l"), F.lit(r).alias("_r"))
     work = F.col("_l") * F.col("_r")
@@ -78,30 +78,28 @@ def _dense_cells(left: DataFrame, right: DataFrame, cell_pairs: int):
         side(left, 1, 0).unionByName(side(right, 0, 1))
         .groupBy(*at).agg(F.sum("_l").alias("_l"), F.sum("_r").alias("_r"))
         .where(work > cell_pairs)
-        .select(*at, factor.alias("_k"))
+        .select(*at, factor.alias("_k"), work.alias("_work"))
     )
-    rows = dense.limit(MAX_DENSE_CELLS + 1).collect()
-    if not rows:
-        return None
-    if len(rows) > MAX_DENSE_CELLS:
-        return False
-    return left.sparkSession.createDataFrame(rows, dense.schema)
+    rows = dense.orderBy(F.col("_work").desc(), *at).limit(MAX_DENSE_CELLS + 1).collect()
+    table = left.sparkSession.createDataFrame(rows[:MAX_DENSE_CELLS], dense.schema).drop("_work") if rows else None
+    return table, len(rows) > MAX_DENSE_CELLS
 
 
 def box_join(
-    left: DataFrame, right: DataFrame, size: float, prefix: str = "r_", cell_pairs: int = CELL_PAIRS
+    left: DataFrame, right: DataFrame, size: float, prefix: str = "r_", cell_pairs: int = CELL_PAIRS, retries: int = 2
 ) -> DataFrame:
     """Inner join of all pairs whose boxes touch (boundaries count).
 
     A pair meets at the coarser of its two levels. One that shares several cells there is kept only in the
     cell of its corner (greatest xmin, greatest ymin), so no ``distinct`` is needed. Cells where both
-    sides pile up are divided.
+    sides pile up are divided. With too many of them the whole grid is made finer first; what is dense
+    even then (copies of one box) is left to the skew handling of the join itself.
     """
     in_left, in_right = _levels_present(left, right, size)
     lcells, rcells = _spread(left, size, in_right), _spread(right, size, in_left)
-    dense = _dense_cells(lcells, rcells, cell_pairs)
-    if dense is False:
-        return box_join(left, right, size / 8.0, prefix, cell_pairs)
+    dense, more = _dense_cells(lcells, rcells, cell_pairs)
+    if more and retries:
+        return box_join(left, right, size / 8.0, prefix, cell_pairs, retries - 1)
     lcells, rcells = _divide(lcells, dense), _divide(rcells, dense)
     keys = ["_lvl", "_cx", "_cy", "_sx", "_sy"]
     rcells = rcells.select(*keys, F.col("_own").alias("_rown"), *[F.col(c).alias(prefix + c) for c in right.columns])
@@ -213,10 +211,11 @@ def spatial_left_join(parcels: DataFrame, layer: DataFrame, size: float, key: st
 
 
 def assign_zone(parcels: DataFrame, zones: DataFrame, zone_col: str, size: float, key: str = "parcel_id") -> DataFrame:
-    """Best zone per parcel: AU, then U, N, A, unknown; equal ranks by zone name."""
+    """Best zone per parcel: AU, then U, N, A, unknown; equal ranks by zone name. Copies of a zone are
+    folded before the join."""
     coded = zones.withColumn("_zone", zone_code(F.col(zone_col)))
     keep = [*BOX, "ring"] if "ring" in zones.columns else list(BOX)
-    pairs = touching_pairs(parcels, coded.select(*keep, "_zone"), size)
+    pairs = touching_pairs(parcels, coded.select(*keep, "_zone").distinct(), size)
     z = F.col("r__zone")
     best = pairs.groupBy(key).agg(F.min(F.struct(zone_rank(z), z.alias("zone")))["zone"].alias("zone_plu"))
     return parcels.select(key).join(best, key, "left").withColumn("zone_plu", F.coalesce("zone_plu", F.lit("inconnu")))

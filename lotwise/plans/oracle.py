@@ -587,8 +587,9 @@ put("screen_profiles", " union all ".join(
 put("screen_kpis", f"""select count(*) n, {R('avg(CPI_technique)', 'mean_cpi')}, count(*) filter (where consensus_confidence>=0.8) n_high_conf, count(*) filter (where gate_reason<>'') n_gated,
   count(*) filter (where parcel_id in (select parcel_id from shap)) n_explained from screened""")
 put("shortlist", f"select parcel_id, {_SCREEN} from scored where parcel_id in (select case when p_partkey%4=2 then p_partkey-1 else p_partkey end from part where p_partkey%4<>3)")
-_d = lambda x, n: f"printf('%.{n}f', round_even({x}*{10 ** n}.0::double,0)/{10 ** n}.0::double)"
-_pc = "printf('%.0f', round_even(consensus_confidence*100.0::double,0))||'%'"
+_six = lambda x: f"(round_even({x}*1000000.0::double,0)/1000000.0::double)"
+_d = lambda x, n: f"printf('%.{n}f', round_even({_six(x)}*{10 ** n}.0::double,0)/{10 ** n}.0::double)"
+_pc = f"printf('%.0f', round_even({_six('consensus_confidence')}*100.0::double,0))||'%'"
 _L = lambda items, dflt: f"(select array_to_string(case when len(l)>0 then l[1:3] else [{', '.join(map(q, dflt))}] end, ' | ') from (select list_filter([{', '.join(items)}], lambda x: x is not null) l))"
 _w = lambda cond, text: f"case when {cond} then {text} end"
 put("verdict", f"""select parcel_id, case when CPI_technique>=65 then {q(K.VERDICTS[0][1])} when CPI_technique>=40 then {q(K.VERDICTS[1][1])} else {q(K.VERDICTS[2][1])} end verdict,

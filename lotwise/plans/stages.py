@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from lotwise import catalog as K
 from lotwise.functions import geometry as G
-from lotwise.operators import cleaning, consensus, joins, labeling, scoring, spatial
+from lotwise.operators import bootstrap, cleaning, clustering, consensus, joins, labeling, models, reporting, scoring, screening, spatial
 from lotwise.plans import study_area as S
 from lotwise.session import materialise
+from lotwise.sources import sinks
 
 CONSENSUS_SCORES = ["CPI_v3", "cluster_score", "CPI_market", "CPI_preference"]
 DEFAULT_TAU = 10.0
@@ -61,7 +62,7 @@ def with_external(spark, sf_dir, scored: DataFrame) -> DataFrame:
 def build_scored(spark: SparkSession, sf_dir: str, tau: float = DEFAULT_TAU) -> DataFrame:
     df = cleaning.with_validity(features(spark, sf_dir))
     out = scoring.score_parcels(df, scoring.fit_scaling(df), tau)
-    sales = cleaning.prepare_sales(S.sales(spark, sf_dir))
+    sales = materialise(cleaning.prepare_sales(S.sales(spark, sf_dir)), "sales")  # read for quantiles and for medians
     labels = labeling.weak_labels(df.select("parcel_id", *K.LABEL_DEFAULTS, "cluster_score"), sales)
     out = out.join(labels.select("parcel_id", "proxy_label"), "parcel_id", "left")
     out = joins.attach_features(out, [S.model_scores(spark, sf_dir)])
@@ -79,10 +80,51 @@ def flagship(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
     df = cleaning.with_validity(features(spark, sf_dir))
     tau = scoring.choose_tau(df.where("is_valid"))
     best = scoring.score_parcels(df, scoring.fit_scaling(df), tau)
-    from lotwise.operators.screening import ranked_top
-
     cols = ["parcel_id", "CPI_v3", "CPI_v3_label", "CPI_technique", "gate_factor", "gate_reason", "slope_p90", "surface_m2"]
-    return ranked_top(best.where("is_valid").select(*cols), "CPI_v3", k)
+    return screening.ranked_top(best.where("is_valid").select(*cols), "CPI_v3", k)
+
+
+def run_batch(
+    spark: SparkSession, sf_dir: str, out: str, n_estimators: int = 300, runs: int = 100, restarts: int = 10, **boosting
+) -> DataFrame:
+    """The whole pipeline: scores, clusters, ranker, contributions, bootstrap, consensus, and every export.
+
+    Returns the final parcel table; writes the full set, the learning set, the contributions, their
+    importance and the report below ``out``.
+    """
+    base = cleaning.with_validity(features(spark, sf_dir))
+    tau = scoring.choose_tau(base.where("is_valid"))
+    df = scoring.score_parcels(base, scoring.fit_scaling(base), tau)
+    sales = materialise(cleaning.prepare_sales(S.sales(spark, sf_dir)), "sales")
+    labels = labeling.weak_labels(df.select("parcel_id", *K.LABEL_DEFAULTS, "cluster_score"), sales)
+    df = materialise(df.join(labels.select("parcel_id", "proxy_label"), "parcel_id", "left"), "labelled")
+    valid = df.where("is_valid")
+    _, closeness = clustering.validate_labels(valid.drop("cluster_score"), restarts=restarts)
+    df = materialise(df.drop("cluster_score").join(closeness, "parcel_id", "left"), "clustered")
+
+    filled = cleaning.median_impute(df, K.FEATURES).withColumn("label", F.col("proxy_label"))
+    learn = filled.where("is_valid and proxy_label<>-1")
+    ranker = models.fit_ranker(learn, K.FEATURES, n_estimators=n_estimators)
+    ranked = materialise(ranker.transform(filled.where("is_valid").select("parcel_id", *K.FEATURES)), "ranked")
+    learned = models.rescale_scores(ranked).select("parcel_id", "CPI_ML_v3")
+    draws = bootstrap.bootstrap_scores(learn, filled.where("is_valid"), K.FEATURES, runs, **boosting)
+    df = joins.attach_intervals(joins.align_scores(df, learned, "CPI_ML_v3"), bootstrap.bootstrap_ci(draws))
+    df = materialise(with_external(spark, sf_dir, df), "learned")
+    df = df.join(consensus.consensus(df, CONSENSUS_SCORES).drop("_confidence"), "parcel_id", "left")
+    df = materialise(df, "final")
+
+    why = models.sampled_shapley(learn.select("parcel_id", *K.FEATURES), ranker.transform, K.FEATURES)
+    why = materialise(models.group_contributions(why), "contributions")
+    importance = reporting.shap_importance(why)
+    sinks.sink_csv(cleaning.export_projection(df), f"{out}/parcels")
+    sinks.sink_csv(cleaning.ml_dataset(df), f"{out}/learning_set")
+    sinks.sink_csv(why, f"{out}/contributions")
+    sinks.sink_csv(importance, f"{out}/importance")
+    sinks.sink_csv(reporting.shap_group_importance(importance), f"{out}/group_importance")
+    sinks.sink_csv(cleaning.drop_all_null(df.select("parcel_id", "cluster_score", "CPI_v3", "CPI_technique", "proxy_label"),
+                                          ["cluster_score", "CPI_v3", "CPI_technique", "proxy_label"]), f"{out}/cluster_scores")
+    sinks.sink_report_json(reporting.report_row(df, tau), f"{out}/report")
+    return df
 
 
 # --- incremental refresh -------------------------------------------------------------------------------
