@@ -41,10 +41,11 @@ def kmeans4(df: DataFrame, columns: Sequence[str], k: int = 4, seed: int = 42, r
     cols = usable_columns(df, columns)
     scaled = standard_scale(median_impute(df, cols, 0.0), cols)
     points = VectorAssembler(inputCols=["z_" + c for c in cols], outputCol="vec").transform(scaled).select(key, "vec")
-    points = materialise(points, "kmeans-points")  # scanned by every start
+    points = materialise(points, "kmeans-points").persist()  # one copy for all starts, rebuilt from the table if lost
     start = lambda i: KMeans(k=k, seed=seed + i, maxIter=50, featuresCol="vec", predictionCol="cluster_id").fit(points)
     fitted = side_by_side(df.sparkSession, [lambda i=i: start(i) for i in range(restarts)])
     best = min(fitted, key=lambda m: m.summary.trainingCost)
+    points.unpersist()
     return best.transform(points).select(key, "cluster_id"), [list(map(float, c)) for c in best.clusterCenters()], cols
 
 
