@@ -11,24 +11,27 @@ from lotwise import catalog as K
 from lotwise.functions import geometry as G
 from lotwise.operators import bootstrap, cleaning, clustering, consensus, joins, labeling, models, reporting, scoring, screening, spatial
 from lotwise.plans import study_area as S
-from lotwise.session import materialise
+from lotwise.session import is_written, materialise, write_table
 from lotwise.sources import sinks
 
 CONSENSUS_SCORES = ["CPI_v3", "cluster_score", "CPI_market", "CPI_preference"]
 DEFAULT_TAU = 10.0
 
-_staged: dict[tuple, DataFrame] = {}
+_staged: dict[tuple, tuple[DataFrame, str]] = {}
 
 
 def stage(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
     """Table of a pipeline stage: written once per application, read by every later step.
 
-    It lies in the shared checkpoint folder, so it survives the loss of executors.
+    It lies in the shared checkpoint folder, so it survives the loss of executors; it is written anew when
+    someone has cleared that folder.
     """
     slot = (spark.sparkContext.applicationId, sf_dir, name)
-    if slot not in _staged:
-        _staged[slot] = materialise(build(), name)
-    return _staged[slot]
+    if slot not in _staged or not is_written(spark, _staged[slot][1]):
+        df = build()
+        path = write_table(df, name)
+        _staged[slot] = (spark.read.schema(df.schema).parquet(path), path)
+    return _staged[slot][0]
 
 
 # --- stage 3: features -------------------------------------------------------------------------------

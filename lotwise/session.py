@@ -61,10 +61,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, so later passes scan pruned columns."""
-    spark = df.sparkSession
-    path = scratch_path(spark, label)
+    return df.sparkSession.read.schema(df.schema).parquet(write_table(df, label))
+
+
+def write_table(df: DataFrame, label: str) -> str:
+    path = scratch_path(df.sparkSession, label)
     df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def is_written(spark: SparkSession, path: str) -> bool:
+    """Whether a table that was written to the end still lies at ``path``."""
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(mark)
 
 
 def side_by_side(spark: SparkSession, tasks: Sequence[Callable], workers: int = 4) -> list:

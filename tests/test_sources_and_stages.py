@@ -87,3 +87,12 @@ def test_the_whole_batch(spark, sf, tmp_path):
     assert report.n_labeled == report.n_pos + report.n_neg and report.n_valid == counts.v
     assert spark.read.option("header", True).csv(f"{out}/learning_set").count() == report.n_labeled
     assert spark.read.option("header", True).csv(f"{out}/contributions").count() == report.n_labeled
+
+
+def test_a_cleared_stage_is_written_again(spark, sf):
+    build = lambda: spark.range(3)
+    first = P.stage(spark, sf, "probe", build)
+    assert first.count() == 3
+    slot = (spark.sparkContext.applicationId, sf, "probe")
+    P._staged[slot] = (first, P._staged[slot][1] + "-gone")
+    assert P.stage(spark, sf, "probe", build).count() == 3
