@@ -11,7 +11,6 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lotwise import catalog as K
@@ -268,4 +267,3 @@ def minmax_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.withColumns(out)
 
 
-__all__ = [n for n in dir() if not n.startswith("_") and n not in {"W"}]
