@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import io
+import os
+import shutil
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
@@ -11,6 +16,7 @@ from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 _local_roots: dict[str, str] = {}
+_shipped: set[str] = set()
 
 
 def build_session(app: str = "lotwise", master: str | None = None, shuffle_partitions: int | None = None, **conf):
@@ -34,17 +40,44 @@ def build_session(app: str = "lotwise", master: str | None = None, shuffle_parti
 def shared_root(spark: SparkSession) -> str:
     """Folder that every executor can reach: the one named by ``spark.checkpoint.dir``.
 
-    Only when the session names none (local tests) a temporary folder is made, once per application.
+    Only when the session names none and all its threads run in the driver (a ``local`` master, as in tests) a temporary
+    folder is made, once per application; on a cluster a missing folder is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if master.startswith("local-cluster") or not master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _local_roots:
         _local_roots[app] = tempfile.mkdtemp(prefix="spark-lotwise-")
     return _local_roots[app]
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give this package's sources to the Python workers, once per application, wherever the driver was started."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    name = os.path.basename(here)
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w") as z:
+        for folder, _, files in os.walk(here):
+            for f in sorted(files):
+                if f.endswith(".py"):
+                    path = os.path.join(folder, f)
+                    z.write(path, os.path.join(name, os.path.relpath(path, here)))
+    folder = tempfile.mkdtemp(prefix="spark-ship-")  # on the driver, which serves it to executors until the end
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = os.path.join(folder, f"{name}_package.zip")
+    with open(path, "wb") as out:
+        out.write(buffer.getvalue())
+    sc.addPyFile(path)
+    _shipped.add(sc.applicationId)
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new path for a table that this application writes for itself."""
     return f"{shared_root(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex[:12]}"
