@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from lotwise.llm.common import col, pieces
 
-CHUNK = 1 << 14
+CHUNK = 1 << 15
 OVERLAP = 512
 
 
@@ -160,7 +160,7 @@ def encode(
         .withColumn("text", F.when(F.col("chunk") == F.col("n_chunks") - 1, F.expr(f"substring(text, chunk * {chunk} + 1)")).otherwise(F.expr(f"substring(text, chunk * {chunk} + 1, {chunk + overlap})")))
     )
     found = chunks.mapInArrow(find_starts, f"id {id_type}, digest string, n_chunks int, chunk int, text string, starts_left array<int>, starts_right array<int>")
-    found = found.groupBy("id", "digest", "n_chunks", "chunk").agg(*(F.first(c).alias(c) for c in ("text", "starts_left", "starts_right")))
+    found = found.repartition("id", "digest").groupBy("id", "digest", "n_chunks", "chunk").agg(*(F.first(c).alias(c) for c in ("text", "starts_left", "starts_right")))
     order = Window.partitionBy("id", "digest").orderBy("chunk")
     shift = F.transform(F.lead("starts_left").over(order), lambda x: x + chunk)
     cut = F.array_min(F.array_intersect("starts_right", shift))
