@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotwise.llm import bpe
-from lotwise.llm.common import documents
+from lotwise.llm import bpe, language_id, quality_knn, quality_rules, secret_scan
+from lotwise.llm.common import documents, fold_of, labels
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -20,7 +20,36 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest_columns(secret_scan.scan(documents(spark, sf_dir)))
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    ratios = quality_rules.model(docs, labels(spark, sf_dir).where("quality = 1 and toxic = 0"))
+    return quality_rules.rules(docs, ratios).select("doc_id", *quality_rules.ADDED)
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held_out = fold_of("doc_id", 4) == 2
+    model = language_id.fit(docs.where(~held_out))
+    return language_id.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op7_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held_out = fold_of("doc_id", 5) == 0
+    model = quality_knn.fit(docs, labels(spark, sf_dir).where(~held_out))
+    scored = quality_knn.score(docs, model)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_secret_scan": op2_secret_scan,
+    "op4_quality_rules": op4_quality_rules,
+    "op5_language_id": op5_language_id,
+    "op7_quality_knn": op7_quality_knn,
 }
 ORACLE: dict[str, str] = {}
