@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotwise.llm import bpe, language_id, quality_knn, quality_rules, secret_scan
+from lotwise.llm import bpe, fingerprints, language_id, quality_knn, quality_rules, secret_scan
 from lotwise.llm.common import documents, fold_of, labels
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -45,11 +45,17 @@ def op7_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
 
 
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return fingerprints.compare_edited(docs, fingerprints.ranks(docs))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_secret_scan": op2_secret_scan,
     "op4_quality_rules": op4_quality_rules,
     "op5_language_id": op5_language_id,
     "op7_quality_knn": op7_quality_knn,
+    "op8_fingerprints": op8_fingerprints,
 }
 ORACLE: dict[str, str] = {}
