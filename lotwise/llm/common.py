@@ -82,3 +82,58 @@ def pieces(batch: pa.RecordBatch, text_at: int, most: int = 4_000_000):
         upto = at + 1 + int(np.searchsorted(np.cumsum(sizes[at + 1 :]) + sizes[at], most))
         yield batch.slice(at, min(upto, len(sizes)) - at)
         at = min(upto, len(sizes))
+
+
+def rolled(x: np.ndarray, n: int, base: np.uint64 = GOLDEN) -> np.ndarray:
+    """Polynomial hashes of all ``n`` neighbours of ``x``, put together from powers of two."""
+    acc, have, block, width = None, 0, x, 1
+    power = lambda k: np.uint64(pow(int(base), k, 1 << 64))
+    while True:
+        if n & width:
+            acc = block if acc is None else acc[: max(0, len(block) - have)] * power(width) + block[have : have + len(acc)]
+            have += width
+        if have == n:
+            return acc
+        block = block[: max(0, len(block) - width)] * power(width) + block[width:]
+        width *= 2
+
+
+def lowest(x: np.ndarray, n: int) -> np.ndarray:
+    """The least of each ``n`` neighbours."""
+    span = 1
+    while span < n:
+        step = min(span, n - span)
+        x = np.minimum(x[: max(0, len(x) - step)], x[step:])
+        span += step
+    return x
+
+
+class Sieve:
+    """A Bloom filter of fixed size: what it lets through may be in the set, what it stops is not.
+
+    It only saves work before an exact step. Its size is given, so it can be broadcast at any scale; when it is full it
+    stops nothing.
+    """
+
+    def __init__(self, words: np.ndarray):
+        self.words = words
+
+    PROBES = 3
+
+    @classmethod
+    def of(cls, hashes: DataFrame, bits: int = 26) -> Sieve:
+        """From a column ``hash`` of 64-bit values; at most ``2**bits / 64`` rows are collected."""
+        at = [F.shiftrightunsigned("hash", i * 20 % (64 - bits)).bitwiseAND((1 << bits) - 1) for i in range(cls.PROBES)]
+        bit = F.explode(F.array(*at)).alias("bit")
+        rows = hashes.select(bit).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, int(bit & 63)))").alias("v")).toArrow()
+        words = np.zeros(1 << (bits - 6), np.uint64)
+        words[rows["word"].to_numpy()] = rows["v"].to_numpy().astype(np.int64).view(np.uint64)
+        return cls(words)
+
+    def passes(self, hashes: np.ndarray) -> np.ndarray:
+        bits = len(self.words).bit_length() + 5
+        out = np.ones(len(hashes), bool)
+        for i in range(self.PROBES):
+            at = (hashes >> np.uint64(i * 20 % (64 - bits))) & np.uint64((1 << bits) - 1)
+            out &= (self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+        return out

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotwise.llm import bpe, fingerprints, language_id, quality_knn, quality_rules, secret_scan
+from lotwise.llm import bpe, fingerprints, language_id, quality_knn, quality_rules, secret_scan, substring_dedup
 from lotwise.llm.common import documents, fold_of, labels
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -50,6 +50,12 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_edited(docs, fingerprints.ranks(docs))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    rows = substring_dedup.without_repeats(docs, substring_dedup.repeated_spans(docs))
+    return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_secret_scan": op2_secret_scan,
@@ -57,5 +63,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_language_id": op5_language_id,
     "op7_quality_knn": op7_quality_knn,
     "op8_fingerprints": op8_fingerprints,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 ORACLE: dict[str, str] = {}
