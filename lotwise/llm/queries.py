@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotwise.llm import bpe, fingerprints, language_id, quality_knn, quality_rules, secret_scan, substring_dedup
+from lotwise.llm import bpe, chosen_path, fingerprints, language_id, quality_knn, quality_rules, secret_scan, substring_dedup
 from lotwise.llm.common import documents, fold_of, labels
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -50,6 +50,10 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_edited(docs, fingerprints.ranks(docs))
 
 
+def op9_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosen_path.near_duplicates(documents(spark, sf_dir))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     rows = substring_dedup.without_repeats(docs, substring_dedup.repeated_spans(docs))
@@ -63,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_language_id": op5_language_id,
     "op7_quality_knn": op7_quality_knn,
     "op8_fingerprints": op8_fingerprints,
+    "op9_chosen_path": op9_chosen_path,
     "op10_substring_dedup": op10_substring_dedup,
 }
 ORACLE: dict[str, str] = {}
