@@ -78,7 +78,7 @@ class Merges(dict):
     The pairs of one pre-token are merged by tiktoken, which gets each pre-token on its own.
     """
 
-    def __init__(self, ranks: dict[bytes, int], limit: int = 300_000):
+    def __init__(self, ranks: dict[bytes, int], limit: int = 100_000):
         super().__init__()
         self.limit = limit
         self.ids = tiktoken.Encoding("pairs", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
@@ -137,7 +137,7 @@ def encode(
     def encode_rows(batches):
         split, merges = Splitter(*patterns), Merges(shared.value)
         for batch in batches:
-            for part in pieces(batch, batch.num_columns - 1):
+            for part in pieces(batch, batch.num_columns - 1, 1_000_000):
                 ids = [b"".join(map(merges.__getitem__, split(t).findall(t))) for t in part.column(part.num_columns - 1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(ids, pa.binary())], [*part.schema.names[:-1], "ids"])
 
@@ -183,13 +183,13 @@ def encode(
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """``encoded`` with the bytes of its packed ids as ``out_col`` (null for null or broken ids)."""
-    shared = encoded.sparkSession.sparkContext.broadcast(ranks)
+    raw = {rank: token for token, rank in ranks.items()}
+    shared = encoded.sparkSession.sparkContext.broadcast([raw.get(i) for i in range(max(raw, default=-1) + 1)])
     names = encoded.columns
     schema = encoded.drop(out_col).schema.add(out_col, "binary")
 
     def decode_rows(batches):
-        raw = {rank: token for token, rank in shared.value.items()}
-        token = [raw.get(i) for i in range(max(raw, default=-1) + 1)]
+        token = shared.value
 
         def one(ids):
             try:
