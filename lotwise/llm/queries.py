@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotwise.llm import bpe, chosen_path, fingerprints, language_id, quality_knn, quality_rules, secret_scan, substring_dedup
+from lotwise.llm import bpe, chosen_path, fingerprints, language_id, lm_score, quality_knn, quality_rules, secret_scan, substring_dedup
 from lotwise.llm.common import documents, fold_of, labels
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -37,6 +37,12 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fold = fold_of("doc_id", 7)
+    docs = documents(spark, sf_dir).withColumn("trained", fold != 2)
+    return lm_score.score(docs, "trained").withColumn("held_out", fold == 2).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op7_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     held_out = fold_of("doc_id", 5) == 0
@@ -65,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secret_scan": op2_secret_scan,
     "op4_quality_rules": op4_quality_rules,
     "op5_language_id": op5_language_id,
+    "op6_lm_score": op6_lm_score,
     "op7_quality_knn": op7_quality_knn,
     "op8_fingerprints": op8_fingerprints,
     "op9_chosen_path": op9_chosen_path,
