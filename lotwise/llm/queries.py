@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotwise.llm import bpe, chosen_path, fingerprints, language_id, lm_score, quality_knn, quality_rules, secret_scan, substring_dedup
+from lotwise.llm import bpe, chosen_path, fingerprints, language_id, lm_score, mixing, quality_knn, quality_rules, secret_scan, substring_dedup
 from lotwise.llm.common import documents, fold_of, labels
+from lotwise.session import materialise
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -24,6 +25,24 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest_columns(secret_scan.scan(documents(spark, sf_dir)))
 
 
+#: Domains of the labelled documents and their shares of all tokens.
+TARGETS = {"clean": 0.9, "poor": 0.07, "toxic": 0.03}
+
+
+def domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "poor").when(F.col("quality") == 1, "clean")
+    return labels(spark, sf_dir).select("doc_id", name.alias("domain"))
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "source", "text")
+    classes = mixing.classifier(docs, domains(spark, sf_dir))
+    members = materialise(mixing.memberships(docs, classes).drop("text"), "members")
+    rated = mixing.with_rates(members, mixing.fit(members, classes, TARGETS))
+    shares = [F.get("posterior", F.lit(i)).alias(f"p_{d}") for i, d in enumerate(classes.domains)]
+    return rated.select("doc_id", "source", "n_tokens", *shares, "rate", "copies")
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     ratios = quality_rules.model(docs, labels(spark, sf_dir).where("quality = 1 and toxic = 0"))
@@ -69,6 +88,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_secret_scan": op2_secret_scan,
+    "op3_mixing": op3_mixing,
     "op4_quality_rules": op4_quality_rules,
     "op5_language_id": op5_language_id,
     "op6_lm_score": op6_lm_score,
