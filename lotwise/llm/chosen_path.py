@@ -26,7 +26,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
@@ -60,14 +60,14 @@ def digest(hashes: np.ndarray) -> bytes | None:
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """Per row the id, ``n_shingles``, ``cls`` (digest of the set, null if empty), minwise ``tokens`` and ``sig``."""
+    """Per row the id, a hash ``v`` of the text, ``n_shingles``, ``cls`` (digest of the set, null if empty), minwise ``tokens`` and ``sig``."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def sketch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            for part in pieces(batch, 1):
-                sets = shingle_sets(part.column(1).to_pylist(), hashes, size)
+            for part in pieces(batch, 2):
+                sets = shingle_sets(part.column(2).to_pylist(), hashes, size)
                 n = np.array(list(map(len, sets)), np.int64)
                 some = n > 0
                 least = np.zeros((len(sets), SIGNATURE), np.uint32)
@@ -78,12 +78,12 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFram
                 tokens = pa.FixedSizeListArray.from_arrays(pa.array(least[:, : TREES * LEVELS].ravel().view(np.int32)), TREES * LEVELS).cast(pa.list_(pa.int32()))
                 sig = [row.tobytes() for row in (least & np.uint32(255)).astype(np.uint8)]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(n), pa.array(list(map(digest, sets)), pa.binary()), tokens, pa.array(sig, pa.binary())],
-                    ["id", "n_shingles", "cls", "tokens", "sig"],
+                    [part.column(0), part.column(1), pa.array(n), pa.array(list(map(digest, sets)), pa.binary()), tokens, pa.array(sig, pa.binary())],
+                    ["id", "v", "n_shingles", "cls", "tokens", "sig"],
                 )
 
-    rows = docs.select(col(id_col).alias("id"), col(text_col).alias("text"))
-    return rows.mapInArrow(sketch, f"id {kind}, n_shingles long, cls binary, tokens array<int>, sig binary")
+    rows = docs.select(col(id_col).alias("id"), F.xxhash64(col(text_col)).alias("v"), col(text_col).alias("text"))
+    return rows.mapInArrow(sketch, f"id {kind}, v long, n_shingles long, cls binary, tokens array<int>, sig binary")
 
 
 @F.pandas_udf(IntegerType())
@@ -211,7 +211,10 @@ def crossing(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 2, percent: int = 80) -> DataFrame:
-    """Per row: the id, ``n_shingles``, ``component_id`` and ``kept`` (whether the row has the least id of its component)."""
+    """Per row: the id, ``n_shingles``, ``component_id``, ``kept`` (whether the row has the least id of its component) and ``v``.
+
+    ``v``, the xxhash64 of the text, tells rows of one id apart.
+    """
     kind = docs.schema[id_col].dataType.simpleString()
     rows = materialise(sketches(docs, id_col, text_col, size), "sketches")
     filled = rows.where("cls is not null").groupBy("cls")
@@ -263,5 +266,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = classes.select("cls", "rep").join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     least = named.groupBy("label").agg(F.min("rep").alias("component"))
     placed = named.join(least, "label").select("cls", "component")
-    out = rows.select("id", "n_shingles", "cls").join(placed, "cls", "left").select("id", "n_shingles", F.coalesce("component", "id").cast(kind).alias("component_id"))
-    return out.withColumn("kept", F.col("id").eqNullSafe(F.col("component_id"))).withColumnRenamed("id", id_col)
+    out = rows.select("id", "v", "n_shingles", "cls").join(placed, "cls", "left").select("id", "v", "n_shingles", F.coalesce("component", "id").cast(kind).alias("component_id"))
+    kept = F.col("id").eqNullSafe(F.col("component_id")).alias("kept")
+    return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", kept, "v")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one document of each group of near-duplicates, that of the least id, and one of rows with equal id and text."""
+    names = docs.columns
+    kept = near_duplicates(docs, id_col, text_col, size, percent).where("kept").groupBy(F.col(id_col).alias("id_"), F.col("v").alias("v_")).agg(F.count(F.lit(1)).alias("rows_"))
+    stay = docs.join(kept, col(id_col).eqNullSafe(F.col("id_")) & (F.xxhash64(col(text_col)) == F.col("v_")))
+    one = F.row_number().over(Window.partitionBy("id_", "v_").orderBy(F.xxhash64(*map(col, names))))
+    many = stay.where("rows_ > 1").withColumn("row_", one).where("row_ = 1").drop("row_")
+    return stay.where("rows_ = 1").unionByName(many).select(*map(col, names))

@@ -76,7 +76,7 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chosen_path.near_duplicates(documents(spark, sf_dir))
+    return chosen_path.near_duplicates(documents(spark, sf_dir)).drop("v")
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -133,6 +133,19 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.withColumn("spans", ordered)
 
 
+def redacted(text: Column, spans: Column, mask: str = "[secret]") -> Column:
+    """``text`` with each stretch that spans cover, overlapping ones together, replaced by ``mask``."""
+    ordered = F.sort_array(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"))))
+
+    def step(s: Column, x: Column) -> Column:
+        fresh = x["start"] >= s["at"]
+        between = F.substring(text, s["at"] + 1, F.greatest(x["start"] - s["at"], F.lit(0)))
+        return F.struct(F.greatest(s["at"], x["stop"]).alias("at"), F.when(fresh, F.concat(s["out"], between, F.lit(mask))).otherwise(s["out"]).alias("out"))
+
+    done = F.aggregate(ordered, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.char_length(text))))
+    return F.when(F.size(spans) > 0, done).otherwise(text)
+
+
 def joined(spans: Column) -> Column:
     """``kind:start:stop`` of all spans, joined by commas."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["stop"])), ",")

@@ -45,7 +45,7 @@ def family(r, base, n, edits):
 
 def run(spark, rows, **kw):
     docs = spark.createDataFrame([(i, t, "clash") for i, t in rows], "doc_id long, text string, kept string")
-    return sorted((tuple(r) for r in C.near_duplicates(docs, **kw).collect()), key=repr)
+    return sorted((tuple(r) for r in C.near_duplicates(docs, **kw).drop("v").collect()), key=repr)
 
 
 @pytest.mark.parametrize("small", [32, 4])
@@ -72,3 +72,11 @@ def test_long_chains_are_one_component(spark):
     links = [(bytes([i]) * 16, bytes([i + 1]) * 16) for i in range(60)] + [(bytes([100]) * 16, bytes([101]) * 16)]
     got = {bytes(r.cls)[0]: bytes(r.label)[0] for r in C.components(spark.createDataFrame(links, "a binary, b binary")).collect()}
     assert got == {**{i: 0 for i in range(61)}, 100: 100, 101: 100}
+
+
+def test_one_of_each_group_stays(spark):
+    r = random.Random(5)
+    rows = list(enumerate(family(r, [f"w{i}" for i in range(200)], 6, 2))) + [(20, "a lone text of some words"), (20, "a lone text of some words"), (21, None), (None, "x y")]
+    docs = spark.createDataFrame([(i, t, "clash") for i, t in rows], "doc_id long, text string, v string")
+    got = C.one_of_each(docs).collect()
+    assert sorted((repr(x.doc_id), x.v) for x in got) == [("0", "clash"), ("20", "clash"), ("21", "clash"), ("None", "clash")]
