@@ -9,33 +9,55 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lotwise.operators.order_stats import average_rank, value_positions
-
-GREEDY_BLOCKS = 100_000
+from lotwise.session import materialise
+
+RANGES = 64  # parts in which blocks are ranked
+
+
+def equal_shares(loads: list[int], n: int, m: int) -> list[int]:
+    """How many of ``m`` blocks of ``n`` rows each fold gets when each goes to the lightest fold, the first of equals."""
+    below = lambda t: [max(0, -(-(t - load) // n)) for load in loads]  # blocks placed while a fold's load is under t
+    lo, hi = min(loads), max(loads) + n * m + 1
+    while lo < hi:  # the greatest t with at most m such blocks
+        mid = (lo + hi + 1) // 2
+        lo, hi = (mid, hi) if sum(below(mid)) <= m else (lo, mid - 1)
+    out = below(lo)
+    for f, load in enumerate(loads):  # the rest go to the folds whose load is t exactly
+        if sum(out) < m and load + out[f] * n == lo:
+            out[f] += 1
+    return out
 
 
-def group_kfold(df: DataFrame, n_folds: int = 5, block: str = "block_id", greedy_blocks: int = GREEDY_BLOCKS) -> DataFrame:
-    """Column ``fold``: a block is never split, largest block to the lightest fold.
+def group_kfold(df: DataFrame, n_folds: int = 5, block: str = "block_id") -> DataFrame:
+    """Column ``fold``: a block is never split, largest block to the lightest fold, equal ones by id.
 
-    With very many blocks only those that weigh are placed one by one; the rest are spread by hash.
+    Blocks of one size differ by their rank only, so the driver packs the histogram of sizes (at most the square root of twice
+    the rows has distinct entries) and Spark turns ranks into folds: the j-th block of a fold comes when the fold's load is
+    its load before plus j sizes, and its rank is the number of blocks that come earlier.
     """
-    counts = df.groupBy(block).agg(F.count(F.lit(1)).alias("n"))
-    n_blocks, n_rows = counts.agg(F.count(F.lit(1)), F.sum("n")).first()
+    counts = df.where(F.col(block).isNotNull()).groupBy(block).agg(F.count(F.lit(1)).alias("n"))
+    parted = materialise(counts.repartitionByRange(RANGES, block).withColumn("part", F.spark_partition_id()), "blocks")
+    sizes = parted.groupBy("n").agg(F.count(F.lit(1)).alias("m")).orderBy(F.col("n").desc()).collect()
+    n_blocks = sum(r.m for r in sizes)
     k = min(n_folds, n_blocks)
     if k < 2:
         raise ValueError("spatial folds need at least two blocks")
-    many = n_blocks > greedy_blocks
-    placed = counts.where(F.col("n") > n_rows / (k * 100)) if many else counts  # at most 100 k, or greedy_blocks
-    loads, folds = [0] * k, []
-    for row in placed.orderBy(F.col("n").desc(), F.col(block)).collect():
-        f = loads.index(min(loads))
-        loads[f] += row["n"]
-        folds.append((row[block], f))
-    schema = f"{block} {df.schema[block].dataType.simpleString()}, fold int"
-    table = df.sparkSession.createDataFrame(folds, schema)
-    out = df.drop("fold").join(F.broadcast(table), block, "left")
-    if many:
-        out = out.withColumn("fold", F.coalesce("fold", F.pmod(F.xxhash64(block), F.lit(k)).cast("int")))
-    return out
+    loads, packed = [0] * k, []
+    for r in sizes:
+        shares = equal_shares(loads, r.n, r.m)
+        packed += [(r.n, f, list(loads), shares[f]) for f in range(k) if shares[f]]
+        loads = [load + share * r.n for load, share in zip(loads, shares, strict=True)]
+    turns = df.sparkSession.createDataFrame(packed, "n long, fold int, loads array<long>, share long")
+    turns = turns.select("n", "fold", "loads", F.explode(F.sequence(F.lit(0).cast("long"), F.col("share") - 1)).alias("j"))
+    at = F.get("loads", F.col("fold")) + F.col("j") * F.col("n")
+    earlier = F.transform("loads", lambda load, g: F.when(at < load, F.lit(0).cast("long")).otherwise(
+        F.floor((at - load) / F.col("n")).cast("long") + ((F.pmod(at - load, F.col("n")) > 0) | (g < F.col("fold"))).cast("long")))
+    turns = turns.select("n", "fold", F.aggregate(earlier, F.lit(0).cast("long"), lambda a, x: a + x).alias("rank"))
+    before = parted.groupBy("n", "part").count()
+    before = before.withColumn("before", F.coalesce(F.sum("count").over(W.partitionBy("n").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    ranked = parted.withColumn("own", F.row_number().over(W.partitionBy("n", "part").orderBy(block))).join(before, ["n", "part"])
+    folds = ranked.select(block, "n", (F.col("own") - 1 + F.col("before")).alias("rank")).join(turns, ["n", "rank"])
+    return df.drop("fold").join(folds.select(block, "fold"), block, "left")
 
 
 def _top(df: DataFrame, group: Sequence[str], order: str, k: int, key: str) -> DataFrame:

@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 BRACKET_ACCURACY = 10_000
 BRACKET_ROWS = 200_000      # a bracket that holds no more rows than this is resolved exactly
 BUCKET_ROWS = 1_000_000     # distinct values sorted by one task in value_positions
-MAX_BUCKETS = 4_096
 GROUP_ROWS = 1_000_000      # largest group that one percentile buffer may hold
 
 
@@ -103,18 +102,18 @@ def _narrow(base: DataFrame, jobs: list[dict], first) -> None:
         for a, job in enumerate(pending):
             job["below"], job["inside"] = row[f"b{a}"], row[f"c{a}"]
             held = job["below"] <= job["k0"] and job["k1"] < job["below"] + job["inside"]
-            if not held:
+            if not held:  # start from the whole column with a wider margin; one as wide as the column holds every rank
                 job["lo"], job["hi"] = first[f"lo{job['i']}"], first[f"hi{job['i']}"]
                 job["below"], job["inside"] = 0, job["n"]
-                job["wide"] = job.get("wide", 0) + 1
-            if job["inside"] > BRACKET_ROWS and job["lo"] < job["hi"] and job.get("wide", 0) < 3:
+                job["slack"] = 4.0 * job.get("slack", 1.0)
+            if job["inside"] > BRACKET_ROWS and job["lo"] < job["hi"]:
                 shrink.append(job)
         if not shrink:
             return
         aggs = []
         for a, job in enumerate(shrink):
             v = F.col(f"v{job['i']}")
-            width = 4.0 / BRACKET_ACCURACY
+            width = 4.0 * job.get("slack", 1.0) / BRACKET_ACCURACY
             p0 = max((job["k0"] - job["below"]) / job["inside"] - width, 0.0)
             p1 = min((job["k1"] - job["below"]) / job["inside"] + width, 1.0)
             aggs.append(
@@ -210,15 +209,16 @@ def value_positions(
             out = out.withColumn(tot(m), F.sum(m).over(W.partitionBy(*part)))
         return out
 
-    buckets = min(MAX_BUCKETS, max(2, n_rows // BUCKET_ROWS))
+    buckets = max(2, n_rows // BUCKET_ROWS)
     marks = [b / buckets for b in range(1, buckets)]
     cuts = df.select(F.percentile_approx(F.col(value).cast("double"), marks, 10 * buckets).alias("q")).first()["q"]
-    splits = [float("-inf"), *sorted(set(cuts)), float("inf")]
-    cut = Bucketizer(splits=splits, inputCol=value, outputCol="_bucket")
+    cuts = sorted({c for c in cuts if math.isfinite(c)}) or [0.0]
+    # infinities fall into the outer buckets; NaN, the greatest value in order, into one of its own behind them
+    cut = Bucketizer(splits=[float("-inf"), *cuts, float("inf")], inputCol=value, outputCol="_bucket", handleInvalid="keep")
     placed = cut.transform(counted)
     part = [*keys, "_bucket"]
     sums = placed.groupBy(*part).agg(*[F.sum(m).alias(f"_s_{m}") for m in measures])
-    # at most one row per bucket and group: bounded by MAX_BUCKETS within a group
+    # at most one row per bucket and group
     group = W.partitionBy(*(keys or [F.lit(0)]))
     ordered = group.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     for m in measures:

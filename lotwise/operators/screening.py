@@ -46,8 +46,10 @@ def screen(
     return kept if explained_ids is None else kept.join(explained_ids.select(key), key, "left_semi")
 
 
-def screen_parcels(df: DataFrame, limit: int = K.SCREEN_LIMIT, **thresholds) -> DataFrame:
-    return top_k(screen(df, **thresholds), "CPI_technique", limit)
+def screen_parcels(df: DataFrame, limit: int | None = None, **thresholds) -> DataFrame:
+    """All parcels that pass; with ``limit`` the best of them (a map draws ``K.SCREEN_LIMIT`` at most)."""
+    kept = screen(df, **thresholds)
+    return kept if limit is None else top_k(kept, "CPI_technique", limit)
 
 
 def screen_profiles(df: DataFrame, profiles=tuple(K.PROFILES)) -> DataFrame:

@@ -580,7 +580,7 @@ put("minmax_profile", "select parcel_id, " + ", ".join(("0.5::double svf_mean" i
 
 # --- screening -----------------------------------------------------------------------------------------------
 _SCREEN = RS("CPI_technique", "consensus_confidence", "slope_p90", "surface_m2")
-put("screen_parcels", f"select parcel_id, {_SCREEN}, cat from (select * from screened order by CPI_technique desc, parcel_id limit 3000)")
+put("screen_parcels", f"select parcel_id, {_SCREEN}, cat from screened")
 put("screen_profiles", " union all ".join(
     f"select {q(n)} profile, count(*) n, {R('avg(CPI_technique)', 'mean_cpi')}, {R('max(CPI_technique)', 'best_cpi')} from scored where CPI_technique>={a} and consensus_confidence>={b} and slope_p90<={c} and surface_m2>={d} and is_valid having count(*)>0"
     for n, a, b, c, d in K.PROFILES))

@@ -131,9 +131,14 @@ def run_batch(
 
 
 # --- incremental refresh -------------------------------------------------------------------------------
+def row_hash(columns: Sequence[str]):
+    """Hash of a row; a null counts by its place, so (null, 5) and (5, null) differ."""
+    return F.xxhash64(*[x for c in columns for x in (F.col(c).isNull(), F.col(c))]).cast("decimal(38,0)")
+
+
 def fingerprint(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     """Hash of all input rows of a parcel, whatever their order: count and sum of the row hashes."""
-    row = F.xxhash64(*columns).cast("decimal(38,0)")
+    row = row_hash(columns)
     return df.groupBy(key).agg(F.sum(row).alias("_sum"), F.count(F.lit(1)).alias("_n")).select(
         key, F.xxhash64("_sum", "_n").alias("input_hash")
     )
@@ -156,7 +161,7 @@ def incremental_refresh(
 
 def table_fingerprint(df: DataFrame) -> int:
     """One number for a whole input table, independent of row order and partitioning."""
-    row = F.xxhash64(*df.columns).cast("decimal(38,0)")
+    row = row_hash(df.columns)
     got = df.agg(F.coalesce(F.sum(row % F.lit(10**15)), F.lit(0)).alias("s"), F.count(F.lit(1)).alias("n")).first()
     return hash((int(got["s"]), int(got["n"])))
 

@@ -43,3 +43,21 @@ def test_grouped_quantiles_large_groups_take_the_second_way(skewed, monkeypatch)
     for g in plain:
         for c in ("p50", "p90", "m"):
             assert plain[g][c] == pytest.approx(split[g][c], abs=1e-9)
+
+
+def test_nan_and_infinities_rank_alike_for_any_bucket_count(spark, monkeypatch):
+    inf = float("inf")
+    values = [float("nan")] * 3 + [inf] * 40 + [-inf] * 30 + [float(i % 17) for i in range(120)] + [None]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    rows = lambda: sorted(tuple(map(repr, r)) for r in O.value_positions(df, [], "v").select("v", "n", "below", "total").collect())
+    small = rows()
+    monkeypatch.setattr(O, "BUCKET_ROWS", 10)
+    assert rows() == small and len(small) == 20
+
+
+def test_brackets_that_miss_are_widened(skewed, monkeypatch):
+    monkeypatch.setattr(O, "BRACKET_ROWS", 5)
+    monkeypatch.setattr(O, "BRACKET_ACCURACY", 3)
+    v = np.array([r.v for r in skewed.where("v is not null").collect()])
+    probs = [0.001, 0.1, 0.37, 0.5, 0.73, 0.999]
+    assert np.allclose(O.global_quantiles(skewed, {"v": ("v", probs)})["v"], np.quantile(v, probs))

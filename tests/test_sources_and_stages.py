@@ -73,6 +73,12 @@ def test_refresh_follows_inputs_and_options(spark):
     assert not any(r.reused for r in P.incremental_refresh(now, ["q"], stored, total, options="x").collect())
 
 
+def test_a_null_counts_by_its_place(spark):
+    one, two = (spark.createDataFrame([(1, *r)], "parcel_id int, a int, b int") for r in ((None, 5), (5, None)))
+    assert P.fingerprint(one, "parcel_id", ["a", "b"]).first() != P.fingerprint(two, "parcel_id", ["a", "b"]).first()
+    assert P.table_fingerprint(one) != P.table_fingerprint(two)
+
+
 def test_family_staleness():
     assert P.stale_families({"parcels": 1, "buildings": 2}, {"parcels": 1, "buildings": 3}) == ["ces_residual"]
     assert "svf" in P.stale_families({}, {"height": 1})
