@@ -7,11 +7,11 @@ at more than one place and returns, per document, the runs of words covered by w
 1. Anchors: the least hash of ``ANCHOR`` words in each window. Equal windows have equal anchors, so a window whose anchor
    occurs once is not repeated. Anchors are counted; those seen twice go into a sieve of fixed size (``Sieve``).
 2. Windows that the sieve lets through are edges. A batch of texts keeps the first place of each edge and settles its later
-   places itself, so an edge that is everywhere comes once per batch. The edges are written to the shared folder.
+   places itself, so an edge that is everywhere comes once per batch.
 3. Edges with two places or more, their first place, and their nodes make the graph. Nodes with two edges in or out are joined
    to the edges; runs of edges that follow one another in their source with no such node between are one path.
 4. The places are joined with the paths. A place other than the first is a repeat; neighbouring repeats whose sources are
-   neighbours, too, are one span. Two hashes (64 and 32 bits) must agree.
+   neighbours, too, and on one path are one span. Edges are 64-bit hashes, nodes 32 bits (a chance fork splits a path, no more).
 
 Null and empty texts have no words. A null id sorts first. Rows with equal ids are documents of their own, unless their texts
 are equal, too: these are one document, and each gets its result. Ids are whole numbers.
@@ -32,7 +32,6 @@ from lotwise.session import materialise
 
 ANCHOR = 8
 NO_ID = -(1 << 63)
-OTHER = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -93,14 +92,12 @@ def edges(rows: DataFrame, sieve: Sieve, k: int) -> DataFrame:
                 where = where[shared.value.passes(anchors_of(x, k)[0][where])]
                 doc = np.repeat(np.arange(len(counts)), counts)[where]
                 pos = where - (np.cumsum(counts) - counts)[doc]
-                edge, node = mix(rolled(x, k)[where]), mix(rolled(x, k - 1))
-                src, dst = node[where], node[where + 1]
-                check = (mix(rolled(mix(x ^ OTHER), k, OTHER)[where]) >> np.uint64(32)).astype(np.uint32)
+                edge, node = mix(rolled(x, k)[where]), mix(rolled(x, k - 1)) >> np.uint64(32)
+                nodes = (node[where] << np.uint64(32)) | node[where + 1]
                 # places in order of document and word; a stable sort by edge keeps that order
-                by = np.lexsort((check, edge)) if len(edge) else np.zeros(0, np.int64)
-                e, c = edge[by], check[by]
+                by = np.argsort(edge, kind="stable")
                 start = np.ones(len(by), bool)
-                start[1:] = (e[1:] != e[:-1]) | (c[1:] != c[:-1])
+                start[1:] = edge[by][1:] != edge[by][:-1]
                 head = by[np.maximum.accumulate(np.where(start, np.arange(len(by)), 0))] if len(by) else by
                 first = np.empty(len(by), np.int64)
                 first[by] = head  # for each place the place where its edge first was
@@ -114,54 +111,56 @@ def edges(rows: DataFrame, sieve: Sieve, k: int) -> DataFrame:
                 last = np.append(at[1:], len(rep)) - 1 if len(at) else at
                 one, r, s = np.flatnonzero(own), rep[at], f[at]
                 n, m = len(one), len(r)
-                nothing = lambda size, kind: pa.nulls(size, kind)
+                nothing = lambda size: pa.nulls(size, pa.int64())
                 longs = lambda a: pa.array(a.view(np.int64) if a.dtype == np.uint64 else a.astype(np.int64))
-                ints = lambda a: pa.array(a.astype(np.int32))
                 both = lambda a, b: pa.concat_arrays([a, b])
+                at_word = (v[doc].astype(np.int64) << 32) + pos
                 yield pa.RecordBatch.from_arrays([
-                    both(longs(edge[one]), nothing(m, pa.int64())), both(pa.array(check[one].view(np.int32)), nothing(m, pa.int32())),
-                    both(longs(src[one]), nothing(m, pa.int64())), both(longs(dst[one]), nothing(m, pa.int64())),
-                    longs(key[doc[np.append(one, r)]]), ints(v[doc[np.append(one, r)]]), ints(pos[np.append(one, r)]),
-                    both(nothing(n, pa.int32()), ints(pos[rep[last]] + k)),
-                    both(nothing(n, pa.int64()), longs(key[doc[s]])), both(nothing(n, pa.int32()), ints(pos[s])),
-                ], ["edge", "check", "src", "dst", "key", "v", "pos", "stop", "source", "source_pos"])
-
-    schema = "edge long, check int, src long, dst long, key long, v int, pos int, stop int, source long, source_pos int"
-    return rows.select("key", "v", "text").mapInArrow(find, schema)
-
-
-def paths(places: DataFrame) -> DataFrame:
-    """Edges at two places or more: their first place (``key``, ``v``, ``pos``) and ``path``, the place where their path begins."""
-    place = F.struct("key", "v", "pos")
-    repeated = places.groupBy("edge", "check").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.first("src").alias("src"), F.first("dst").alias("dst")).where("first != last")
-    repeated = repeated.select("edge", "check", "src", "dst", "first.*")
-    forks = [repeated.groupBy(F.col(c).alias("node")).count().where("count > 1").select("node") for c in ("src", "dst")]
+                    both(longs(edge[one]), nothing(m)), both(longs(nodes[one]), nothing(m)), longs(key[doc[np.append(one, r)]]), longs(at_word[np.append(one, r)]),
+                    both(nothing(n), longs(pos[rep[last]] + k)), both(nothing(n), longs(key[doc[s]])), both(nothing(n), longs(at_word[s])),
+                ], ["edge", "nodes", "key", "at", "stop", "source", "source_at"])
+
+    return rows.select("key", "v", "text").mapInArrow(find, "edge long, nodes long, key long, at long, stop long, source long, source_at long")
+
+
+V, POS = "int(shiftright({}, 32))", "int({} & 4294967295L)"
+
+
+def paths(firsts: DataFrame) -> DataFrame:
+    """The repeated edges (``edge``, ``nodes``, and their first place ``key``, ``at``) with ``path``, the place where their path begins."""
+    ends = [firsts.select(F.expr(f"shiftrightunsigned(shiftleft(nodes, {left}), 32)").alias("node")) for left in (0, 32)]
+    forks = [e.groupBy("node").count().where("count > 1").select("node") for e in ends]
     forked = forks[0].unionByName(forks[1]).distinct().withColumn("fork", F.lit(True))
-    along = Window.partitionBy("key", "v").orderBy("pos")
-    begins = F.coalesce(F.lag("pos").over(along) + 1 != F.col("pos"), F.lit(True)) | F.coalesce("fork", F.lit(False))
-    marked = repeated.join(forked, repeated["src"] == forked["node"], "left").withColumn("begin", F.when(begins, F.col("pos")))
-    return marked.select("edge", "check", "key", "v", "pos", F.last("begin", True).over(along).alias("path"))
+    along = Window.partitionBy("key", F.expr(V.format("at"))).orderBy("at")
+    begins = F.coalesce(F.lag("at").over(along) + 1 != F.col("at"), F.lit(True)) | F.coalesce("fork", F.lit(False))
+    started = firsts.withColumn("node", F.expr("shiftrightunsigned(nodes, 32)")).join(forked, "node", "left").withColumn("begin", F.when(begins, F.col("at")))
+    return started.select("edge", F.last("begin", True).over(along).alias("path"))
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 20, sieve_bits: int = 26) -> DataFrame:
     """``key`` and ``v`` of a document, a run of its words [start, stop) that has come before, and where (``source``, ``source_pos``).
 
-    Runs of one document may overlap or touch, where their sources differ.
+    Runs of one document may overlap or touch, where their sources or paths differ.
     """
     if k < 2:
         raise ValueError("k must be 2 or more")
     rows = keyed(docs, id_col, text_col)
-    found = materialise(edges(rows, Sieve.of(repeated_anchors(rows, k), sieve_bits), k), "edges")
-    places = found.where("stop is null").select("edge", "check", "src", "dst", "key", "v", "pos")
-    graph = paths(places).select("edge", "check", F.col("key").alias("source"), F.col("v").alias("source_v"), F.col("pos").alias("source_pos"), "path")
-    later = places.select("edge", "check", "key", "v", "pos").join(graph, ["edge", "check"])
-    later = later.where(~((F.col("key") == F.col("source")) & (F.col("v") == F.col("source_v")) & (F.col("pos") == F.col("source_pos"))))
-    order = Window.partitionBy("key", "v").orderBy("pos")
+    found = edges(rows, Sieve.of(repeated_anchors(rows, k), sieve_bits), k)
+    same = Window.partitionBy("edge")  # at most one place per batch of texts
+    places = found.where("stop is null").select("edge", "nodes", "key", "at")
+    placed = places.withColumns({"first": F.min(F.struct("key", "at")).over(same), "n": F.count(F.lit(1)).over(same)}).where("n > 1")
+    is_first = (F.col("key") == F.col("first.key")) & (F.col("at") == F.col("first.at"))
+    graph = paths(placed.where(is_first).dropDuplicates(["edge"]).select("edge", "nodes", "key", "at"))
+    later = placed.where(~is_first).select("edge", "key", "at", F.col("first.key").alias("source"), F.col("first.at").alias("source_at")).join(graph, "edge").drop("edge")
+    order = Window.partitionBy("key", F.expr(V.format("at"))).orderBy("at")
     follows = lambda c, step: F.coalesce(F.lag(c).over(order) + step == F.col(c), F.lit(False))
-    joins_on = follows("pos", 1) & follows("source_pos", 1) & follows("source", 0) & follows("source_v", 0) & follows("path", 0)
+    joins_on = follows("at", 1) & follows("source_at", 1) & follows("source", 0) & follows("path", 0)
     numbered = later.withColumn("run", F.when(joins_on, F.lit(0)).otherwise(1)).withColumn("run", F.sum("run").over(order))
-    spans = numbered.groupBy("key", "v", "run").agg(F.min("pos").alias("start"), (F.max("pos") + k).alias("stop"), F.min("source").alias("source"), F.min("source_pos").alias("source_pos")).drop("run")
-    return spans.unionByName(found.where("stop is not null").select("key", "v", F.col("pos").alias("start"), "stop", "source", "source_pos"))
+    spans = numbered.groupBy("key", F.expr(V.format("at")).alias("v"), "run").agg(
+        F.min(F.expr(POS.format("at"))).alias("start"), (F.max(F.expr(POS.format("at"))) + k).alias("stop"), F.min("source").alias("source"), F.min(F.expr(POS.format("source_at"))).alias("source_pos")
+    ).drop("run")
+    own = found.where("stop is not null").selectExpr("key", f"{V.format('at')} v", f"{POS.format('at')} start", "int(stop) stop", "source", f"{POS.format('source_at')} source_pos")
+    return spans.unionByName(own)
 
 
 def without_repeats(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text", sieve_bits: int = 26) -> DataFrame:
