@@ -11,8 +11,8 @@ component.
    stays together through d choices with probability 0.8^d, so 16 trees miss it with probability 1e-7 (d = 2) to 2e-4 (d = 4).
 3. Pairs whose signatures agree in ``LEAST_AGREE`` places (five deviations below the mean at 0.8) are confirmed on full sets:
    first the best partners of each class, then all other pairs that are not yet in one component.
-4. Nodes that are still large at the end hold copies with small edits. Members outside the largest component of their node
-   are compared with all its members of other components, so no link is lost and copies are not expanded into pairs.
+4. Nodes that are still large at the end hold copies with small edits. Members outside the largest component of such a group
+   are compared with all its members, in blocks, so no link is lost and copies are not expanded into pairs.
 
 Null and empty texts, and texts without words, have an empty set, are linked with nothing and are their own component.
 Rows with equal ids are documents of their own; the component is the least id reachable (null only if no id is known).
@@ -39,6 +39,7 @@ DEPTH = 5
 SMALL = 32
 SIGNATURE = 128
 LEAST_AGREE = 80
+BLOCK = 256
 FACTORS = mix(np.arange(1, SIGNATURE + 1, dtype=np.uint64) * GOLDEN) | np.uint64(1)
 
 
@@ -172,11 +173,8 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def check(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for one, two in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(one, np.uint64), np.frombuffer(two, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True)) if 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)) else 0
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
+            both = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
+            keep = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in both]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     one, two = (sets.select(F.col("cls").alias(c), F.col("hashes").alias(f"set_{c}")) for c in "ab")
@@ -210,6 +208,57 @@ def crossing(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return both.where(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select("a", "b")
 
 
+def confirmed_in_blocks(large: DataFrame, labels: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between components, among the members (path, cls) of nodes that stayed large.
+
+    Nodes that share members are one group. Those of its members outside its largest component are the query set; all members
+    are compared with all of it, in blocks of about ``BLOCK`` by ``BLOCK``, so a group is never in one task, and only links leave a task.
+    """
+    pivots = large.groupBy("path").agg(F.min("cls").alias("a"))
+    group = components(large.join(pivots, "path").where("cls != a").select("a", F.col("cls").alias("b"))).withColumnRenamed("label", "grp")
+    named = materialise(group.join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls")), "groups")
+    sizes = named.groupBy("grp", "label").count()
+    main = sizes.groupBy("grp").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.max("count").alias("most"), F.sum("count").alias("all"))
+    main = main.where("most < all").select("grp", "main", F.ceil(F.col("all") / BLOCK).alias("rows"), F.ceil((F.col("all") - F.col("most")) / BLOCK).alias("cols"))
+    members = named.join(main, "grp").join(classes.select("cls", "sig"), "cls").join(sets, "cls")
+    block = lambda c: F.pmod(F.xxhash64("cls"), F.col(c)).alias(c)
+    every = lambda c: F.explode_outer(F.sequence(F.lit(0).cast("long"), F.col(c) - 1)).alias(c)
+    data = ("label", "cls", "sig", "hashes")
+    queries = members.where("label != main").select("grp", every("rows"), block("cols"), F.lit(0).alias("side"), *data)
+    rest = members.select("grp", block("rows"), every("cols"), F.lit(1).alias("side"), *data)
+    n = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = queries.unionByName(rest).withColumn("at", F.xxhash64("grp", "rows", "cols")).select("at", "side", *data)
+
+    def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, asked, signs = None, [], None
+        for batch in batches:
+            found = []
+            for key, side, label, cls, sig, hashes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key != at:
+                    at, asked, signs = key, [], None  # a block's queries come first
+                if side == 0:
+                    asked.append((label, cls, np.frombuffer(sig, np.uint8), np.frombuffer(hashes, np.uint64)))
+                    continue
+                if not asked:
+                    continue
+                if signs is None:
+                    signs = np.array([x[2] for x in asked])
+                mine = np.frombuffer(hashes, np.uint64)
+                for i in np.flatnonzero((signs == np.frombuffer(sig, np.uint8)).sum(1) >= LEAST_AGREE).tolist():
+                    if asked[i][0] != label and similar(mine, asked[i][3], percent):
+                        found.append(sorted((cls, asked[i][1])))
+            yield pa.RecordBatch.from_arrays([pa.array([f[j] for f in found], pa.binary()) for j in (0, 1)], ["a", "b"])
+
+    return both.repartition(n, "at").sortWithinPartitions("at", "side").mapInArrow(compare, "a binary, b binary").distinct()
+
+
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 2, percent: int = 80) -> DataFrame:
     """Per row: the id, ``n_shingles``, ``component_id``, ``kept`` (whether the row has the least id of its component) and ``v``.
 
@@ -253,13 +302,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         links = links.unionByName(more)
         labels = components(links)
     if large is not None:
-        named = large.select("path", "cls").join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-        sizes = named.groupBy("path", "label").count()
-        main = sizes.groupBy("path").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").drop("parts")
-        odd = named.join(main, "path").where("label != main").select("path", F.col("cls").alias("x"), F.col("label").alias("x_label"))
-        meets = odd.join(named, "path").where("label != x_label").select(F.least("x", "cls").alias("a"), F.greatest("x", "cls").alias("b"))
-        rest = agreeing(meets, classes.select("cls", "sig")).join(pairs, ["a", "b"], "left_anti")
-        more = materialise(confirmed(rest, sets, percent), "confirmed")
+        more = materialise(confirmed_in_blocks(large, labels, classes, sets, percent), "confirmed")
         if not more.isEmpty():
             labels = components(links.unionByName(more))
 

@@ -51,6 +51,7 @@ def run(spark, rows, **kw):
 @pytest.mark.parametrize("small", [32, 4])
 def test_components_equal_brute_force(spark, monkeypatch, small):
     monkeypatch.setattr(C, "SMALL", small)
+    monkeypatch.setattr(C, "BLOCK", 5)
     r = random.Random(small)
     texts = []
     for _ in range(6):
