@@ -12,10 +12,12 @@ tokens are dealt to all shards by context. How many shards there are follows fro
 
 ``score`` sends each batch of texts as one packed row per shard (distinct pairs of each text with their multiplicities). A
 shard counts the training pairs, builds its trie (``elias_fano.Trie``: 16-bit codes for the numerators of pairs seen) in
-a memory map, looks up all its pairs and returns sums per text. ``tries`` returns the tries themselves, to be kept.
+a memory map, looks up all its pairs and returns one packed row of sums per batch; a batch's rows are then added up.
+``tries`` returns the tries themselves, to be kept.
 
 Null and empty texts have one token, the end. Without training rows N = V = 0. Rows with equal ids are scored each; a
-null id is let through; other columns are ignored.
+null id is let through; other columns are ignored. Batches are told apart by task, so ``docs`` must come in the same order when
+a task is run again, as a table that is read does.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,8 +37,9 @@ from lotwise.session import materialise
 
 START, END = np.uint64(0), np.uint64(1)
 PRIOR = 5.0
-PER_SHARD = 4_000_000
-BATCH = 12_000_000
+PER_SHARD = 3_000_000
+LEAST_SHARDS = 64  # so that there are tasks enough, and as many sums per text, for small inputs too
+BATCH = 8_000_000
 
 
 def sequences(texts: list[str | None], hashes: WordHashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -69,13 +73,13 @@ def shard_of(words: np.ndarray, contexts: np.ndarray, heavy: np.ndarray, shards:
 
 
 def routed(rows: DataFrame, heavy: np.ndarray, shards: int) -> DataFrame:
-    """Per shard and batch of texts one packed row."""
+    """Per shard and batch of texts one packed row, and per batch one with its ids, for no shard (below 0)."""
 
     def route(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, squeeze = WordHashes(), zstandard.ZstdCompressor(level=1)
+        hashes, squeeze, number = WordHashes(), zstandard.ZstdCompressor(level=1), TaskContext.get().partitionId() << 24
         for batch in batches:
             for part in pieces(batch, 3, BATCH):
-                key, v = part.column(0).to_numpy(zero_copy_only=False), part.column(1).to_numpy(zero_copy_only=False)
+                key, known_id = (part.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
                 trained = np.array(part.column(2).to_pylist(), bool)
                 text, words, contexts = sequences(part.column(3).to_pylist(), hashes)
                 shard = shard_of(words, contexts, heavy, shards)
@@ -87,30 +91,37 @@ def routed(rows: DataFrame, heavy: np.ndarray, shards: int) -> DataFrame:
                 times = np.diff(np.append(at, len(order)))
                 shard, text, words, contexts = shard[at], text[at], words[at], contexts[at] & np.uint64((1 << CONTEXT_BITS) - 1)
                 used, begins = np.unique(shard, return_index=True)
-                blobs = []
+                blobs = [squeeze.compress(flatten({"key": key, "known": known_id.astype(bool)}))]
                 for lo, hi in zip(begins, np.append(begins[1:], len(shard)), strict=True):
                     texts, n = np.unique(text[lo:hi], return_counts=True)
                     w, wi = np.unique(words[lo:hi], return_inverse=True)
                     c, ci = np.unique(contexts[lo:hi], return_inverse=True)
-                    small = lambda a: a.astype(np.min_scalar_type(int(a.max()) if len(a) else 0))
                     blobs.append(squeeze.compress(flatten({
-                        "key": key[texts], "v": small(v[texts]), "trained": trained[texts], "n": small(n), "w": w, "wi": small(wi),
+                        "text": small(texts), "trained": trained[texts], "n": small(n), "w": w, "wi": small(wi),
                         "c": np.ascontiguousarray(c.view(np.uint8).reshape(-1, 8)[:, : CONTEXT_BITS // 8]).ravel(), "ci": small(ci), "times": small(times[lo:hi]),
                     })))
-                yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(blobs, pa.binary())], ["shard", "blob"])
+                shard_column = np.concatenate([[-1 - number % shards], used]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(shard_column), pa.array([number] * len(blobs), pa.int64()), pa.array(blobs, pa.binary())], ["shard", "batch", "blob"])
+                number += 1
 
-    return rows.select("key", "v", "trained", "text").mapInArrow(route, "shard int, blob binary")
+    return rows.select("key", "known_id", "trained", "text").mapInArrow(route, "shard int, batch long, blob binary")
+
+
+def small(a: np.ndarray) -> np.ndarray:
+    return a.astype(np.min_scalar_type(int(a.max()) if len(a) else 0))
 
 
 class Shard:
-    """The pairs that were sent to one shard."""
+    """The pairs that were sent to one shard; ``text`` numbers the texts of all its batches through."""
 
-    def __init__(self, blobs: list[bytes]):
+    def __init__(self, blobs: list[tuple[int, bytes]]):
         open_ = zstandard.ZstdDecompressor().decompress
-        parts = [unflatten(open_(b)) for b in blobs]
+        parts = [unflatten(open_(b)) for _, b in blobs]
+        self.batches = [(batch, p["text"]) for (batch, _), p in zip(blobs, parts, strict=True)]
         joined = lambda name, kind: np.concatenate([p[name].astype(kind) for p in parts])
-        self.key, self.v, trained = joined("key", np.int64), joined("v", np.int32), joined("trained", bool)
-        self.text = np.repeat(np.arange(len(self.key)), joined("n", np.int64))
+        trained = joined("trained", bool)
+        self.n_texts = len(trained)
+        self.text = np.repeat(np.arange(self.n_texts), joined("n", np.int64))
         self.times = joined("times", np.int64)
         wide = lambda c: np.pad(c.reshape(-1, CONTEXT_BITS // 8), ((0, 0), (0, 8 - CONTEXT_BITS // 8))).view("<u8").ravel()
         words = np.concatenate([p["w"][p["wi"]] for p in parts])
@@ -140,33 +151,33 @@ class Shard:
         return Trie.build(self.words[known], self.word_count[known], np.searchsorted(known, self.pair_word[seen]), self.pair_context[seen], np.log10(self.pair_count[seen] + prior * p))
 
     def sums(self, trie: Trie, total: int, distinct: int, starts: int, prior: float) -> dict[str, np.ndarray]:
-        """Per text: tokens, known tokens, ends, and the two sums of logarithms."""
+        """Per text: tokens, known tokens, and the two sums of logarithms."""
         index = trie.find(self.words)
         count = trie.count(index)
         log_p = np.log10((count + 1) / (total + distinct + 1))
         after = np.where(self.words == END, np.log10(starts + prior), np.log10(count + prior))  # each text has one start and one end
         found = trie.pair_logs(index[self.pair_word], self.pair_context)
         pair = np.where(np.isnan(found), np.log10(prior) + log_p[self.pair_word], found) - after[self.pair_word]
-        word, n = self.pair_word[self.pair], len(self.key)
+        word, n = self.pair_word[self.pair], self.n_texts
         add = lambda values: np.bincount(self.text, values * self.times, n)
         return {
-            "tokens": add(1), "known": add(count[word] > 0), "ends": add(self.words[word] == END),
+            "tokens": add(1), "known": add(count[word] > 0),
             "base": add(log_p[word]), "score": add(pair[self.pair]),
         }
 
 
-def by_shard(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes]]]:
-    """The blobs of each shard, from rows sorted by shard."""
-    shard, blobs = None, []
+def by_first(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
+    """The other columns of all rows with one value in the first, from rows sorted by it."""
+    at, rows = None, []
     for batch in batches:
-        for s, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if s != shard and blobs:
-                yield shard, blobs
-                blobs = []
-            shard = s
-            blobs.append(b)
-    if blobs:
-        yield shard, blobs
+        for first, *others in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if first != at and rows:
+                yield at, rows
+                rows = []
+            at = first
+            rows.append(tuple(others))
+    if rows:
+        yield at, rows
 
 
 class Fitted:
@@ -176,7 +187,7 @@ class Fitted:
         counts = materialise(word_counts(rows), "words")
         known = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count("word").alias("distinct")).first()
         self.total, self.distinct, self.prior = known.total, known.distinct, prior
-        self.shards = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-self.total // per_shard))
+        self.shards = max(LEAST_SHARDS, -(-self.total // per_shard))
         ends = counts.where(F.col("word") == int(END)).collect()
         self.starts = ends[0].n if ends else 0
         heavy = counts.where(F.col("n") * 4 * self.shards >= max(1, self.total)).collect()  # 4 for each shard at most
@@ -189,10 +200,10 @@ class Fitted:
 
 def prepared(docs: DataFrame, trained: str, id_col: str, text_col: str) -> DataFrame:
     """``trained`` is a SQL condition on the columns of ``docs``."""
-    text = F.coalesce(col(text_col), F.lit(""))
+    key = col(id_col).cast("long")
     return docs.select(
-        F.coalesce(col(id_col).cast("long"), F.lit(-(1 << 63))).alias("key"), F.when(col(id_col).isNull(), 32749).otherwise(F.pmod(F.xxhash64(text), F.lit(32749))).cast("int").alias("v"),
-        F.coalesce(F.expr(trained), F.lit(False)).alias("trained"), text.alias("text"),
+        F.coalesce(key, F.lit(0)).alias("key"), key.isNotNull().alias("known_id"),
+        F.coalesce(F.expr(trained), F.lit(False)).alias("trained"), F.coalesce(col(text_col), F.lit("")).alias("text"),
     )
 
 
@@ -203,7 +214,9 @@ def tries(docs: DataFrame, trained: str = "true", id_col: str = "doc_id", text_c
     heavy, total, distinct = fitted.heavy, fitted.total, fitted.distinct
 
     def build(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard, blobs in by_shard(batches):
+        for shard, blobs in by_first(batches):
+            if shard < 0:
+                continue
             yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([Shard(blobs).trie(heavy, total, distinct, prior)], pa.binary())], ["shard", "trie"])
 
     return fitted.sorted_blobs(rows).mapInArrow(build, "shard int, trie binary")
@@ -216,20 +229,41 @@ def score(docs: DataFrame, trained: str, id_col: str = "doc_id", text_col: str =
     heavy, total, distinct, starts = fitted.heavy, fitted.total, fitted.distinct, fitted.starts
 
     def look_up(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, blobs in by_shard(batches):
-            shard = Shard(blobs)
-            sums = shard.sums(Trie.mapped(shard.trie(heavy, total, distinct, prior)), total, distinct, starts, prior)
-            longs = [pa.array(sums[k].astype(np.int64)) for k in ("tokens", "known", "ends")]
-            for at in range(0, len(shard.key), 50_000):
-                cut = [pa.array(shard.key), pa.array(shard.v), *longs, pa.array(sums["base"]), pa.array(sums["score"])]
-                yield pa.RecordBatch.from_arrays([c.slice(at, 50_000) for c in cut], ["key", "v", "tokens", "known", "ends", "base", "score"])
-
-    found = fitted.sorted_blobs(rows).mapInArrow(look_up, "key long, v int, tokens long, known long, ends long, base double, score double")
-    each = found.groupBy("key", "v").agg(*(F.sum(c).alias(c) for c in ("tokens", "known", "ends", "base", "score")))
-    per_row = lambda c: F.col(c) / F.col("ends")  # rows that are equal were sent as one text each, and summed
+        squeeze = zstandard.ZstdCompressor(level=1)
+        for number, rows in by_first(batches):
+            if number >= 0:
+                shard = Shard(rows)
+                sums = shard.sums(Trie.mapped(shard.trie(heavy, total, distinct, prior)), total, distinct, starts, prior)
+                out, at = [], 0
+                for batch, texts in shard.batches:
+                    cut = slice(at, at + len(texts))
+                    at += len(texts)
+                    out.append((batch, squeeze.compress(flatten({
+                        "text": texts, "tokens": small(sums["tokens"][cut].astype(np.int64)), "known": small(sums["known"][cut].astype(np.int64)),
+                        "base": sums["base"][cut], "score": sums["score"][cut].astype(np.float32),
+                    }))))
+                rows = out
+            batch, blob = zip(*rows, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(batch, pa.int64()), pa.array([number >= 0] * len(rows)), pa.array(blob, pa.binary())], ["batch", "sums", "blob"])
+
+    def add_up(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_ = zstandard.ZstdDecompressor().decompress
+        for _, rows in by_first(batches):
+            parts = [unflatten(open_(b)) for is_sums, b in rows if is_sums]
+            ids = next(unflatten(open_(b)) for is_sums, b in rows if not is_sums)
+            n = len(ids["key"])
+            each = {name: np.zeros(n) for name in ("tokens", "known", "base", "score")}
+            for p in parts:
+                for name, total_of in each.items():
+                    total_of[p["text"]] += p[name]  # a text comes once per shard
+            key = pa.array(ids["key"], mask=~ids["known"])
+            yield pa.RecordBatch.from_arrays(
+                [key, pa.array(each["tokens"].astype(np.int64)), pa.array(each["known"].astype(np.int64)), pa.array(each["base"]), pa.array(each["score"])],
+                ["id", "n_tokens", "n_known", "base_score", "score"],
+            )
+
+    found = fitted.sorted_blobs(rows).mapInArrow(look_up, "batch long, sums boolean, blob binary")
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    added = found.repartition(n, "batch").sortWithinPartitions("batch").mapInArrow(add_up, "id long, n_tokens long, n_known long, base_score double, score double")
     kind = docs.schema[id_col].dataType.simpleString()
-    return each.select(
-        F.when(F.col("v") != 32749, F.col("key")).cast(kind).alias(id_col), per_row("tokens").cast("long").alias("n_tokens"), per_row("known").cast("long").alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"), per_row("base").alias("base_score"), per_row("score").alias("score"),
-        F.explode_outer(F.sequence(F.lit(1), F.col("ends").cast("int"))).alias("copy"),
-    ).drop("copy")
+    return added.select(F.col("id").cast(kind).alias(id_col), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")

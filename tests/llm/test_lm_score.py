@@ -35,7 +35,8 @@ def text(seed):
 
 
 @pytest.mark.parametrize("per_shard", [4_000_000, 150])
-def test_scores_equal_brute_force(spark, per_shard):
+def test_scores_equal_brute_force(spark, monkeypatch, per_shard):
+    monkeypatch.setattr(L, "LEAST_SHARDS", 3)
     rows = [(i, text(i), i % 4 != 2) for i in range(60)]
     rows += [(70, None, True), (71, "", False), (72, "one", False), (73, "is " * 5000, True), (5, rows[5][1], True), (5, "other text", False), (None, "no id", True)]
     docs = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, trained boolean, score string")
