@@ -169,9 +169,10 @@ CTE: dict[str, str] = {
       select s.parcel_id, area_m2, least(greatest(built_area/area_m2,0),1) ces_existant from shape s join built b on s.parcel_id=b.parcel_id)""",
     "flags": """select p.parcel_id, count(*) filter (where h.layer='argiles')>0 brgm_argiles_flag, count(*) filter (where h.layer='mvt_terrain')>0 brgm_mvt_terrain_flag
       from fx_parcels p left join fx_hazard_points h on h.x between p.xmin and p.xmax and h.y between p.ymin and p.ymax group by p.parcel_id""",
-    "features": """select f.*, s.compactness_ratio, s.elongation_ratio, s.block_id, c.ces_existant, c.ces_residuel, c.emprise_residuelle_m2,
-      g.brgm_argiles_flag, g.brgm_mvt_terrain_flag, '73065' commune from fx_features f left join shape s on f.parcel_id=s.parcel_id
-      left join ces c on f.parcel_id=c.parcel_id left join flags g on f.parcel_id=g.parcel_id""",
+    "features": """select p.parcel_id, f.* exclude (parcel_id, surface_m2, zone_plu), cast(10+(p.parcel_id*37)%6000 as double) surface_m2,
+      case p.parcel_id%7 when 0 then 'U' when 1 then 'UA' when 2 then 'UB' when 3 then 'AU' when 4 then 'N' when 5 then 'A' else 'inconnu' end zone_plu, s.compactness_ratio, s.elongation_ratio, s.block_id, c.ces_existant, c.ces_residuel, c.emprise_residuelle_m2,
+      g.brgm_argiles_flag, g.brgm_mvt_terrain_flag, '73065' commune from fx_parcels p left join fx_features f on f.parcel_id=p.parcel_id left join shape s on p.parcel_id=s.parcel_id
+      left join ces c on p.parcel_id=c.parcel_id left join flags g on p.parcel_id=g.parcel_id""",
     "validated": "select *, (nan_ratio<=0.40 and surface_m2<=5000 and surface_m2>=20 and zone_plu in ('U','AU','UB','UC','UD','UE','UF','AUB','inconnu')) is_valid from (select *, ("
     + "+".join(f"(case when {c} is null then 1 else 0 end)" for c in FEATURES) + ")/10.0::double nan_ratio from features)",
     "scaling": stats("validated"),
@@ -263,7 +264,7 @@ CTE["pointers"] = (
 )
 CTE["walk"] = "select k s, k cur from pointers where z is not null union all select w.s, p.dest from walk w join pointers p on w.cur=p.k where p.dest is not null"
 CTE["acc"] = "select p.r, p.c, p.z, case when p.z is not null then a.n end accumulation from pointers p left join (select cur, count(*) n from walk group by cur) a on a.cur=p.k"
-_given_runs = "select run, parcel_id, ((parcel_id*31+run*run*17+run*7)%1009)/1009.0::double*least(slope_p50,30)+40.0::double p from fx_features cross join (select unnest(range(40)) run)"
+_given_runs = "select run, parcel_id, ((parcel_id*31+run*run*17+run*7)%1009)/1009.0::double*least(slope_p50,30)+40.0::double p from features cross join (select unnest(range(40)) run)"
 CTE["runs"] = _given_runs
 CTE["intervals"] = "select parcel_id, avg(p) cpi_ml_mean, stddev_pop(p) cpi_ml_std, quantile_cont(p,0.025) cpi_ml_ci_low, quantile_cont(p,0.975) cpi_ml_ci_high from runs group by parcel_id"
 CTE["topfold"] = "select *, row_number() over (partition by fold order by score desc, parcel_id) rn, row_number() over (partition by fold order by label desc, parcel_id) rl from ranking"
@@ -364,8 +365,8 @@ put("is_valid", "select parcel_id, is_valid from validated")
 put("filter_counters", """select count(*) n_total, count(*) filter (where is_valid) n_valid, count(*) filter (where nan_ratio>0.40) n_too_null,
   count(*) filter (where surface_m2>5000) n_too_big, count(*) filter (where surface_m2<20) n_too_small,
   count(*) filter (where zone_plu not in ('U','AU','UB','UC','UD','UE','UF','AUB','inconnu')) n_bad_zone from validated""")
-put("median_impute", "select parcel_id, " + ", ".join(R(f"coalesce({c}, (select quantile_cont({c},0.5) from fx_features))", c) for c in FEATURES) + " from fx_features")
-put("default_fill", "select parcel_id, " + ", ".join(R(f"coalesce(case when parcel_id%9<>{i} then {c} end, {v})", c) for i, (c, v) in enumerate(K.LABEL_DEFAULTS.items())) + " from fx_features")
+put("median_impute", "select parcel_id, " + ", ".join(R(f"coalesce({c}, (select quantile_cont({c},0.5) from features))", c) for c in FEATURES) + " from features")
+put("default_fill", "select parcel_id, " + ", ".join(R(f"coalesce(case when parcel_id%9<>{i} then {c} end, {v})", c) for i, (c, v) in enumerate(K.LABEL_DEFAULTS.items())) + " from features")
 _ID = "replace(replace(upper(trim(id_parcelle)),' ',''),'-','')"
 put("normalize_parcel_id", f"select id_parcelle, rpad({_ID},14,' ') id_padded, {_ID} id_compact, upper(trim(id_parcelle)) id_sale from fx_market")
 _Z = "replace(upper(trim(typezone)),' ','')"
@@ -392,7 +393,7 @@ put("zone_assign", f"""select parcel_id, coalesce(arg_min(zn, rk||zn), 'inconnu'
   select p.parcel_id, case when z.zone_id is not null then {_ZN} end zn from fx_parcels p left join fx_zones z on {_TOUCH})) group by parcel_id""")
 put("hazard_flag", "select * from flags")
 put("overlay_built_area", f"select parcel_id, {RS('built_area')} from built")
-put("price_lookup", f"select f.parcel_id, {RS('median_price')} from fx_features f left join price p on p.sale_id=cast(f.parcel_id as varchar)")
+put("price_lookup", f"select f.parcel_id, {RS('median_price')} from features f left join price p on p.sale_id=cast(f.parcel_id as varchar)")
 put("align_scores", f"select p.parcel_id, {RS('CPI_ML_v3')} from fx_parcels p left join fx_ml m on p.parcel_id=m.parcel_id")
 put("attach_features", f"select parcel_id, {RS('slope_p50', 'compactness_ratio', 'ces_existant')}, brgm_argiles_flag, block_id from features")
 put("score_align_concat", f"select p.parcel_id, {RS(*CONSENSUS)} from fx_parcels p left join scored s on p.parcel_id=s.parcel_id")
@@ -409,7 +410,7 @@ put("buffer_zonal", f"""select z.zone_id, {R('max(z)', 'height_obj_max')}, {R('a
   on sqrt(power(greatest(xmin-{_X},0,{_X}-xmax),2)+power(greatest(ymin-{_Y},0,{_Y}-ymax),2))<=20 group by z.zone_id""")
 _CMP = ["CPI_technique", "CPI_ML_v3", "cluster_score", "consensus_score", "consensus_confidence"]
 put("compare_pairs", "select a.parcel_id id_a, b.parcel_id id_b, " + ", ".join(R(f"a.{c}-b.{c}", f"delta_{c}") for c in _CMP)
-    + f", case when a.CPI_technique>b.CPI_technique then a.parcel_id else b.parcel_id end winner, {R('abs(a.CPI_technique-b.CPI_technique)', 'margin')} from scored a join scored b on b.parcel_id=a.parcel_id+1")
+    + f", case when a.CPI_technique>b.CPI_technique then a.parcel_id else b.parcel_id end winner, {R('abs(a.CPI_technique-b.CPI_technique)', 'margin')} from scored a join scored b on b.parcel_id=a.parcel_id+1 join part on p_partkey=a.parcel_id")
 
 # --- geometry --------------------------------------------------------------------------------------------
 for _name, _cols in {"geom_area": ["area_m2"], "geom_perimeter": ["perimeter_m"], "geom_centroid": ["cx", "cy"], "compactness": ["compactness_ratio"], "elongation": ["elongation_ratio"]}.items():
@@ -465,9 +466,9 @@ put("block_classes", f"""select *, pure_pos+pure_neg>total*0.3 many_pure from (s
 put("distinct_blocks", "select count(distinct block_id) n_blocks from shape")
 put("score_summary", " union all ".join(
     f"select {q(s)} score, {R(f'avg({s})', 'score_mean')}, {R(f'stddev_samp({s})', 'score_std')}, {R(f'min({s})', 'score_min')}, {R(f'max({s})', 'score_max')} from scored where is_valid" for s in ("CPI_v3", "CPI_technique")))
-put("zone_distribution", """select 'U' zone, count(*) filter (where zone_plu like 'U%') n from fx_features union all select 'AU', count(*) filter (where zone_plu like 'AU%') from fx_features
-  union all select 'N', count(*) filter (where zone_plu='N') from fx_features union all select 'A', count(*) filter (where zone_plu='A') from fx_features
-  union all select 'inconnu', count(*) filter (where zone_plu='inconnu') from fx_features""")
+put("zone_distribution", """select 'U' zone, count(*) filter (where zone_plu like 'U%') n from features union all select 'AU', count(*) filter (where zone_plu like 'AU%') from features
+  union all select 'N', count(*) filter (where zone_plu='N') from features union all select 'A', count(*) filter (where zone_plu='A') from features
+  union all select 'inconnu', count(*) filter (where zone_plu='inconnu') from features""")
 _LZ = "(select replace(upper(trim(coalesce(typezone, case when zone_id%2=0 then ' au x' end, ''))),' ','') v from fx_zones)"
 put("layer_zone_counts", f"""select 'U' zone, count(*) filter (where v like 'U%') n from {_LZ} union all select 'AU', count(*) filter (where v like 'AU%') from {_LZ}
   union all select 'N', count(*) filter (where v like 'N%') from {_LZ} union all select 'A', count(*) filter (where v like 'A%' and v not like 'AU%') from {_LZ}""")
@@ -496,11 +497,11 @@ put("histogram", " union all ".join(
 put("cluster_profile", f"select cluster_id, {RS(*PROFILE, 'label_rate')} from profile")
 
 # --- scoring ---------------------------------------------------------------------------------------------
-_RAWQ = "(select quantile_cont(slope_p50,0.01) s_lo, quantile_cont(slope_p50,0.99) s_hi, quantile_cont(twi_mean,0.01) t_lo, quantile_cont(twi_mean,0.99) t_hi, quantile_cont(slope_p90,0.01) p_lo, quantile_cont(slope_p90,0.99) p_hi from fx_features)"
+_RAWQ = "(select quantile_cont(slope_p50,0.01) s_lo, quantile_cont(slope_p50,0.99) s_hi, quantile_cont(twi_mean,0.01) t_lo, quantile_cont(twi_mean,0.99) t_hi, quantile_cont(slope_p90,0.01) p_lo, quantile_cont(slope_p90,0.99) p_hi from features)"
 put("robust_normalize", f"""select parcel_id, {R(norm('slope_p50', lo='s_lo', hi='s_hi', fill='s_lo'), 'slope_norm')}, {R(norm('twi_mean', True, lo='t_lo', hi='t_hi', fill='t_lo'), 'twi_inverted')},
-  0.5::double constant_norm from fx_features cross join {_RAWQ}""")
+  0.5::double constant_norm from features cross join {_RAWQ}""")
 put("sigmoid_stretch", f"""select parcel_id, {R(norm('slope_p90', False, True, 'p_lo', 'p_hi', 'p_lo'), 'slope_stretch')}, {R(norm('twi_mean', True, True, 't_lo', 't_hi', 't_lo'), 'twi_stretch')}
-  from fx_features cross join {_RAWQ}""")
+  from features cross join {_RAWQ}""")
 put("group_scores", f"select parcel_id, {RS(*G4)} from grouped")
 put("group_scores_no_svf", f"select parcel_id, {R(h1(sun(False) + '*100.0::double'), 'score_soleil')} from validated cross join scaling")
 put("tau_group_scores", f"select parcel_id, {RS('p', 'h', 'm', 's')} from tau_groups")
@@ -575,8 +576,8 @@ put("consensus_meta", f"""select 4 available_count, {R('median(consensus_score)'
 put("top_k", f"select parcel_id, {RS('CPI_ML_v3', 'CPI_v3', 'slope_p50', 'slope_p90', 'svf_mean', 'twi_mean', 'surface_m2')} from (select * from scored where is_valid order by CPI_ML_v3 desc nulls last, parcel_id limit 5)")
 put("ranked_top10", f"""select parcel_id, {RS('CPI_technique', 'consensus_confidence', 'slope_p90', 'surface_m2')}, rang::int rang from (
   select *, row_number() over (order by CPI_technique desc, parcel_id) rang from screened) where rang<=10""")
-put("value_percentile", f"select parcel_id, {RS('cluster_score')}, {R('case when cluster_score is not null then (rank() over (order by cluster_score nulls last)-1)/(count(*) over ())::double end', 'share_below')} from fx_features")
-put("minmax_profile", "select parcel_id, " + ", ".join(("0.5::double svf_mean" if c == "svf_mean" else R(f"({c}-min({c}) over ())/(max({c}) over ()-min({c}) over ())", c)) for c in FEATURES) + " from fx_features")
+put("value_percentile", f"select parcel_id, {RS('cluster_score')}, {R('case when cluster_score is not null then (rank() over (order by cluster_score nulls last)-1)/(count(*) over ())::double end', 'share_below')} from features")
+put("minmax_profile", "select parcel_id, " + ", ".join(("0.5::double svf_mean" if c == "svf_mean" else R(f"({c}-min({c}) over ())/(max({c}) over ()-min({c}) over ())", c)) for c in FEATURES) + " from features")
 
 # --- screening -----------------------------------------------------------------------------------------------
 _SCREEN = RS("CPI_technique", "consensus_confidence", "slope_p90", "surface_m2")

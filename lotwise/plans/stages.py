@@ -36,7 +36,7 @@ def stage(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataF
 
 # --- stage 3: features -------------------------------------------------------------------------------
 def build_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All feature families attached by id to the parcels that have terrain features."""
+    """All feature families attached by id to all parcels; one without cells has null terrain features and is not valid."""
     terrain = S.terrain_features(spark, sf_dir)
     shape = S.parcel_shape(spark, sf_dir)
     parcels = S.parcels(spark, sf_dir)
@@ -45,7 +45,8 @@ def build_features(spark: SparkSession, sf_dir: str) -> DataFrame:
         "parcel_id", "ces_existant", "ces_residuel", "emprise_residuelle_m2"
     )
     flags = spatial.hazard_flags(parcels, S.hazard_points(spark, sf_dir), S.HAZARD_LAYERS, S.GRID)
-    out = joins.attach_features(terrain, [shape.drop("area_m2"), ces, flags])
+    base = S.land_register(spark, sf_dir)
+    out = joins.attach_features(base, [terrain.drop("surface_m2", "zone_plu"), shape.drop("area_m2"), ces, flags])
     return out.withColumn("commune", F.lit(K.COMMUNE_CODE))
 
 

@@ -89,6 +89,18 @@ def sales(spark, sf_dir) -> DataFrame:
     )
 
 
+SURFACE = "cast(10+(parcel_id*37)%6000 as double) surface_m2"
+ZONE = (
+    "case parcel_id%7 when 0 then 'U' when 1 then 'UA' when 2 then 'UB' when 3 then 'AU' "
+    "when 4 then 'N' when 5 then 'A' else 'inconnu' end zone_plu"
+)
+
+
+def land_register(spark, sf_dir) -> DataFrame:
+    """Every parcel with its registered surface and zone."""
+    return parcels(spark, sf_dir).selectExpr("parcel_id", SURFACE, ZONE)
+
+
 def terrain_features(spark, sf_dir) -> DataFrame:
     """Zonal features per parcel: ``lineitem`` rows are the cells, ``l_partkey`` is the zone."""
     li = table(spark, sf_dir, "lineitem").select(
@@ -118,9 +130,7 @@ def terrain_features(spark, sf_dir) -> DataFrame:
         "_disc*8 hillshade_winter_mean",
         "aspect_south_ratio_mean",
         "case when parcel_id%7=0 then null else _tax*10 end svf_mean",
-        "cast(10+(parcel_id*37)%6000 as double) surface_m2",
-        "case parcel_id%7 when 0 then 'U' when 1 then 'UA' when 2 then 'UB' when 3 then 'AU' "
-        "when 4 then 'N' when 5 then 'A' else 'inconnu' end zone_plu",
+        SURFACE, ZONE,
         "case when parcel_id%13=0 then null else cast((parcel_id*29)%101 as double) end cluster_score",
     )
 

@@ -88,7 +88,7 @@ def test_the_whole_batch(spark, sf, tmp_path):
     out = str(tmp_path)
     df = P.run_batch(spark, sf, out, n_estimators=2, runs=2, restarts=1, maxIter=2)
     counts = df.selectExpr("count(*) n", "count_if(is_valid) v", "count(CPI_ML_v3) m", "count(cpi_ml_std) s", "count(cluster_score) c", "min(n_approaches_used) a").first()
-    assert counts.n == 200 and counts.m == counts.s == counts.c == counts.v and counts.a >= 1
+    assert counts.n == 1500 and counts.m == counts.s == counts.c == counts.v and counts.a >= 1
     report = spark.read.json(f"{out}/report").first()
     assert report.n_labeled == report.n_pos + report.n_neg and report.n_valid == counts.v
     assert spark.read.option("header", True).csv(f"{out}/learning_set").count() == report.n_labeled
