@@ -149,6 +149,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     same = Window.partitionBy("edge")  # at most one place per batch of texts
     places = found.where("stop is null").select("edge", "nodes", "key", "at")
     placed = places.withColumns({"first": F.min(F.struct("key", "at")).over(same), "n": F.count(F.lit(1)).over(same)}).where("n > 1")
+    placed = materialise(placed.drop("n"), "places")  # read twice; the wide shuffle of all places is made once
     is_first = (F.col("key") == F.col("first.key")) & (F.col("at") == F.col("first.at"))
     graph = paths(placed.where(is_first).dropDuplicates(["edge"]).select("edge", "nodes", "key", "at"))
     later = placed.where(~is_first).select("edge", "key", "at", F.col("first.key").alias("source"), F.col("first.at").alias("source_at")).join(graph, "edge").drop("edge")
