@@ -34,9 +34,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their secrets masked, and ``n_chars`` of the new text."""
     scanned = secret_scan.scan(docs)
-    text = F.when(F.col("text").isNotNull(), secret_scan.redacted(F.col("text"), F.col("spans")))
-    n_chars = F.when(F.size("spans") > 0, F.char_length(text)).otherwise(F.col("n_chars"))
-    return scanned.withColumns({"text": text, "n_chars": n_chars.cast(docs.schema["n_chars"].dataType)}).drop("spans")
+    masked = scanned.withColumn("text", F.when(F.col("text").isNotNull(), secret_scan.redacted(F.col("text"), F.col("spans"))))
+    n_chars = F.when(F.size("spans") > 0, F.char_length("text")).otherwise(F.col("n_chars"))
+    return masked.withColumn("n_chars", n_chars.cast(docs.schema["n_chars"].dataType)).drop("spans")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
