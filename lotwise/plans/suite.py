@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -845,15 +846,17 @@ def _(spark, sf):
 
 @query("model_forest")
 def _(spark, sf):
-    cv = models.cross_validate(model_input(spark, sf), lambda d: models.fit_forest(d, K.FEATURES, numTrees=30), "forest", FOLDS)
+    cv = models.cross_validate(model_input(spark, sf), lambda d: models.fit_forest(d, K.FEATURES), "forest", FOLDS)
     return evaluation.fold_metrics(materialise(cv, "cv"), 20, "CPI_v3")
 
 
 @query("model_ranker")
 def _(spark, sf):
-    d = model_input(spark, sf)
-    ranker = models.fit_ranker(d, K.FEATURES, n_estimators=4, learning_rate=0.3)
-    return models.rescale_scores(materialise(ranker.transform(d), "ranked")).select("parcel_id", "label", "CPI_ML_v3")
+    """Scores of every labelled parcel by the ranker of the other folds; each fold has a model, so a scale, of its own."""
+    cv = models.cross_validate(model_input(spark, sf), lambda d: models.fit_ranker(d, K.FEATURES).transform, "ranker", FOLDS)
+    cv = materialise(cv.select("parcel_id", "label", "fold", "score"), "ranked")
+    scaled = [models.rescale_scores(cv.where(F.col("fold") == f)) for f in FOLDS]
+    return reduce(DataFrame.unionByName, scaled).select("parcel_id", "label", "fold", "score", "CPI_ML_v3")
 
 
 @query("ranking_gradients")
@@ -864,8 +867,10 @@ def _(spark, sf):
 
 @query("grid_search")
 def _(spark, sf):
-    fit = lambda d, maxIter, maxDepth, stepSize: models.fit_boosted(d, K.FEATURES, maxIter=int(maxIter), maxDepth=int(maxDepth), stepSize=stepSize)
-    return models.grid_search(model_input(spark, sf), fit, {"maxIter": [2, 4], "maxDepth": [2], "stepSize": [0.1]}, [0, 1])
+    def fit(d, n_estimators, max_depth, learning_rate):
+        return models.fit_ranker(d, K.FEATURES, n_estimators=n_estimators, max_depth=max_depth, learning_rate=learning_rate).transform
+
+    return models.grid_search(model_input(spark, sf), fit, models.RANKER_GRID, FOLDS)
 
 
 @query("ndcg_at_k")
