@@ -778,7 +778,7 @@ def _(spark, sf):
 
 @query("validate_labels")
 def _(spark, sf):
-    agreement, _ = clustering.validate_labels(P.scored(spark, sf).where("is_valid"), restarts=2)
+    agreement, _ = clustering.validate_labels(P.scored(spark, sf).where("is_valid"))
     return agreement
 
 
@@ -918,8 +918,7 @@ def _(spark, sf):
 @query("shap_values_sampled")
 def _(spark, sf):
     d = model_input(spark, sf)
-    score = models.fit_forest(d, K.FEATURES, numTrees=10)
-    return models.sampled_shapley(d, score, K.FEATURES, 2)
+    return models.sampled_shapley(d, models.fit_forest(d, K.FEATURES), K.FEATURES)
 
 
 @query("shap_groups")
@@ -937,7 +936,7 @@ def _(spark, sf):
 @query("bootstrap_ci_fitted")
 def _(spark, sf):
     filled = materialise(cleaning.median_impute(P.scored(spark, sf).where("is_valid"), K.FEATURES).select("parcel_id", "proxy_label", *K.FEATURES), "boot-in")
-    long = bootstrap.bootstrap_scores(filled.where("proxy_label<>-1"), filled, K.FEATURES, runs=2, maxIter=4)
+    long = bootstrap.bootstrap_scores(filled.where("proxy_label<>-1"), filled, K.FEATURES)
     return bootstrap.bootstrap_ci(long)
 
 

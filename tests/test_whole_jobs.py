@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lotwise import catalog as K
-from lotwise.operators import models
+from lotwise.operators import bootstrap, clustering, models
 from lotwise.plans import suite
 
 
@@ -61,3 +61,40 @@ def test_ranker_and_forest_run_with_their_defaults_on_all_folds(spark, learning,
 def test_ranker_under_folds_is_fitted_without_the_rows_it_scores(spark, learning):
     cv = models.cross_validate(learning, lambda d: models.fit_ranker(d, K.FEATURES[:3], n_estimators=1).transform, "ranker", [0, 1])
     assert cv.where("score is not null").count() == 40
+
+
+def test_fitted_bootstrap_runs_all_draws_and_scores_them_in_batches(spark, learning, monkeypatch):
+    labelled = learning.withColumnRenamed("label", "proxy_label").withColumn("is_valid", F.lit(True))
+    real, calls = bootstrap.fit_boosted, []
+    monkeypatch.setattr(suite.P, "scored", lambda *_: labelled)
+
+    def fit(df, features, label, **params):
+        calls.append(params)
+        return lambda d: d.withColumn("score", F.col("parcel_id") * float(params["seed"])).withColumn("predicted", F.lit(1))
+
+    monkeypatch.setattr(bootstrap, "fit_boosted", fit)
+    got = suite.QUERIES["bootstrap_ci_fitted"](spark, "").collect()
+    assert len(got) == 100 and sorted(p["seed"] for p in calls) == [42 + r for r in range(100)]
+    assert all(set(p) == {"seed", "weightCol"} for p in calls)
+    monkeypatch.setattr(bootstrap, "fit_boosted", real)
+    monkeypatch.setattr(bootstrap, "BATCH", 2)
+    feats = K.FEATURES[:3]
+    long = {(r.run, r.parcel_id): r.p for r in bootstrap.bootstrap_scores(labelled, labelled, feats, runs=3, maxIter=2).collect()}
+    assert len(long) == 300
+    drawn = labelled.withColumn("_w", bootstrap.poisson_weight(F.col("parcel_id"), 2).cast("double")).where("_w>0")
+    alone = {r.parcel_id: r.score for r in real(drawn, feats, "proxy_label", weightCol="_w", seed=44, maxIter=2)(labelled).collect()}
+    low, high = min(alone.values()), max(alone.values())
+    for k, v in alone.items():
+        assert long[2, k] == pytest.approx((v - low) / (high - low + 1e-9) * 100)
+
+
+def test_shapley_and_label_check_run_with_their_defaults(spark, learning, monkeypatch):
+    forests, orders, restarts = [], [], []
+    monkeypatch.setattr(suite, "model_input", lambda *_: learning)
+    monkeypatch.setattr(suite.P, "scored", lambda *_: learning.withColumn("is_valid", F.lit(True)))
+    monkeypatch.setattr(models, "fit_forest", Fake(forests))
+    monkeypatch.setattr(models, "sampled_shapley", lambda *a, **kw: orders.append((len(a), kw)) or learning)
+    monkeypatch.setattr(clustering, "validate_labels", lambda *a, **kw: restarts.append((len(a), kw)) or (learning, learning))
+    suite.QUERIES["shap_values_sampled"](spark, "")
+    suite.QUERIES["validate_labels"](spark, "")
+    assert [p for p, _ in forests] == [{}] and orders == [(3, {})] and restarts == [(1, {})]
