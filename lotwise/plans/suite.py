@@ -478,6 +478,28 @@ def _(spark, sf):
     return raster.thalweg_mask(drained(spark, sf), 5).select("r", "c", "thalweg")
 
 
+def drained_filled(spark, sf) -> DataFrame:
+    """Drainage of the filled surface: what flows into a pit leaves it again."""
+    filled = terrain_flow.fill_depressions(S.cells(spark, sf))
+    return terrain_flow.flow_accumulation(terrain_flow.d8_pointers(filled))
+
+
+@query("flow_accumulation_d8_filled")
+def _(spark, sf):
+    return drained_filled(spark, sf).select("r", "c", "accumulation")
+
+
+@query("twi_filled")
+def _(spark, sf):
+    both = raster.slope(S.cells(spark, sf)).join(drained_filled(spark, sf).drop("z"), ["r", "c"])
+    return raster.twi(both).select("r", "c", "twi")
+
+
+@query("thalweg_mask_filled")
+def _(spark, sf):
+    return raster.thalweg_mask(drained_filled(spark, sf)).select("r", "c", "thalweg")
+
+
 @query("sky_view_factor")
 def _(spark, sf):
     return terrain_flow.sky_view_factor(S.cells(spark, sf), WIDE)

@@ -1,5 +1,7 @@
 """The model queries run the operators over their whole job: all folds, combinations, trees, draws, orders and restarts."""
 
+import heapq
+import math
 import random
 from collections import Counter
 
@@ -8,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lotwise import catalog as K
 from lotwise.operators import bootstrap, clustering, models
+from lotwise.operators.terrain_flow import OFFSETS
 from lotwise.plans import suite
 
 
@@ -98,3 +101,45 @@ def test_shapley_and_label_check_run_with_their_defaults(spark, learning, monkey
     suite.QUERIES["shap_values_sampled"](spark, "")
     suite.QUERIES["validate_labels"](spark, "")
     assert [p for p, _ in forests] == [{}] and orders == [(3, {})] and restarts == [(1, {})]
+
+
+def filled_by_heap(z, eps=1e-4):
+    """Least surface on which every cell drains: lowest water first, from cells at the edge or beside nodata."""
+    known = {k: v for k, v in z.items() if v is not None}
+    near = {(r, c): [(r + a, c + b) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b] for r, c in known}
+    heap = [(v, k) for k, v in known.items() if not all(n in known for n in near[k])]
+    water = {}
+    heapq.heapify(heap)
+    while heap:
+        w, k = heapq.heappop(heap)
+        if k not in water:
+            water[k] = w
+            for n in near[k]:
+                if n in known and n not in water:
+                    heapq.heappush(heap, (max(known[n], w + eps), n))
+    return water
+
+
+def test_drainage_of_the_filled_surface(spark, sf):
+    z = {(r.r, r.c): r.z for r in suite.S.cells(spark, sf).collect()}
+    w, down = filled_by_heap(z), {}
+    for (r, c), v in w.items():
+        drops = [((v - w[r + a, c + b]) / math.hypot(a, b), -i, (r + a, c + b)) for i, (a, b) in enumerate(OFFSETS.values()) if (r + a, c + b) in w]
+        best = max((d for d in drops if d[0] > 0), default=None)
+        down[r, c] = best and best[2]
+    count = dict.fromkeys(z)
+    for k in w:
+        while k is not None:
+            count[k] = (count[k] or 0) + 1
+            k = down[k]
+    got = {(r.r, r.c): r.accumulation for r in suite.QUERIES["flow_accumulation_d8_filled"](spark, sf).collect()}
+    assert got == count
+    raw = {(r.r, r.c): r.accumulation for r in suite.QUERIES["flow_accumulation_d8"](spark, sf).collect()}
+    assert sum(v or 0 for v in got.values()) > sum(v or 0 for v in raw.values())  # the sum of all path lengths, which pits cut
+    mask = {(r.r, r.c): r.thalweg for r in suite.QUERIES["thalweg_mask_filled"](spark, sf).collect()}
+    assert mask == {k: None if v is None else int(v >= K.THALWEG_MIN_CELLS) for k, v in count.items()}
+    slope = {(r.r, r.c): r.slope_deg for r in suite.raster.slope(suite.S.cells(spark, sf)).collect()}
+    for r in suite.QUERIES["twi_filled"](spark, sf).collect():
+        n, s = count[r.r, r.c], slope[r.r, r.c]
+        want = None if n is None or s is None else min(K.TWI_CAP, math.log(n * 0.25 / math.tan(math.radians(max(s, 0.5)))))
+        assert r.twi == (None if want is None else pytest.approx(want, abs=1e-6))
