@@ -10,6 +10,10 @@ A fingerprint is the text ``features:filters in base64``. ``likeness`` is the me
 fewer, of the best overlap with a filter of the other: shared bits above those expected by chance, over the most possible.
 Equal fingerprints have likeness 1. A text without such a window (a short or a flat one) is one feature as a whole; an
 empty or null text has no filter and is like another such text only.
+
+With ``short`` (ranks of windows of ``SHORT`` bytes over the whole corpus), texts under ``SHORT_BELOW`` bytes also get the
+features of such windows in runs of ``SHORT``, scored at least ``SHORT_POPULAR`` times, and those under four windows
+all their pieces of ``TINY`` bytes; only flat texts and those under ``TINY`` bytes are then one feature as a whole.
 """
 
 from __future__ import annotations
@@ -31,6 +35,10 @@ from lotwise.llm.common import col, pieces
 WINDOW = 64
 LEVELS = 1024
 POPULAR = 16
+SHORT = 8
+SHORT_POPULAR = SHORT * POPULAR // WINDOW
+SHORT_BELOW = 4 * WINDOW
+TINY = 4
 FILTER_BITS = 2048
 PROBES = 5
 MOST = 160
@@ -41,58 +49,69 @@ FLAT_LEVEL = LEVELS // 10
 POP = np.array([bin(i).count("1") for i in range(256)], np.int64)
 
 
-def levels(x: np.ndarray) -> np.ndarray:
+def levels(x: np.ndarray, window: int = WINDOW) -> np.ndarray:
     """Entropy of each window of ``x`` as a whole number below ``LEVELS``."""
     n = len(x)
-    if n < WINDOW:
+    if n < window:
         return np.zeros(0, np.int64)
-    behind, ahead = np.zeros(n, np.uint8), np.zeros(n, np.uint8)  # equal bytes among the WINDOW - 1 before, and after
-    for k in range(1, WINDOW):
+    behind, ahead = np.zeros(n, np.uint8), np.zeros(n, np.uint8)  # equal bytes among the window - 1 before, and after
+    for k in range(1, window):
         same = (x[k:] == x[:-k]).view(np.uint8)
         behind[k:] += same
         ahead[:-k] += same
     gain = WEIGHT[behind + 1] - WEIGHT[behind]  # right for each byte that enters, once a whole window lies behind it
     loss = WEIGHT[ahead + 1] - WEIGHT[ahead]
-    first = np.bincount(x[:WINDOW], minlength=256)
-    total = np.concatenate([[WEIGHT[first].sum()], gain[WINDOW:] - loss[: n - WINDOW]]).cumsum()
-    return (FULL - total) * (LEVELS - 1) // FULL
+    first = np.bincount(x[:window], minlength=256)
+    total = np.concatenate([[WEIGHT[first].sum()], gain[window:] - loss[: n - window]]).cumsum()
+    full = int(WEIGHT[window])
+    return (full - total) * (LEVELS - 1) // full
 
 
-def windows_in(sizes: np.ndarray) -> np.ndarray:
+def windows_in(sizes: np.ndarray, window: int = WINDOW) -> np.ndarray:
     """Which window starts of texts put one after another lie in one text."""
     n = int(sizes.sum())
     left = np.repeat(np.cumsum(sizes), sizes) - np.arange(n)
-    return left[: max(0, n - WINDOW + 1)] >= WINDOW
+    return left[: max(0, n - window + 1)] >= window
 
 
-def features(texts: list[bytes], rank: np.ndarray) -> list[list[bytes]]:
-    """The features of each text, in order."""
+def scored(texts: list[bytes], rank: np.ndarray, window: int, popular: int) -> dict[int, list[bytes]]:
+    """The windows of each text that score at least ``popular`` times, in order; texts without any are left out."""
     sizes = np.array(list(map(len, texts)), np.int64)
     joined = b"".join(texts)
-    level = levels(np.frombuffer(joined, np.uint8))
-    out: list[list[bytes]] = [[t] if t else [] for t in texts]
+    level = levels(np.frombuffer(joined, np.uint8), window)
     if not len(level):
-        return out
-    inside = windows_in(sizes)
+        return {}
+    inside = windows_in(sizes, window)
     key = rank[level]
     worst = np.int64(1) << np.int64(62)
     key = np.where(inside & (level >= FLAT_LEVEL), (key.astype(np.int64) << 40) + np.arange(len(key)), worst)
     text = np.repeat(np.arange(len(texts)), sizes)[: len(key)]
     low, span = key, 1
-    while span < WINDOW and len(low) > span:
+    while span < window and len(low) > span:
         low = np.minimum(low[:-span], low[span:])
         span *= 2
-    if span < WINDOW:
-        return out
-    runs = low[inside[: len(low)] & inside[WINDOW - 1 :][: len(low)] & (text[: len(low)] == text[WINDOW - 1 :][: len(low)])]
+    if span < window:
+        return {}
+    runs = low[inside[: len(low)] & inside[window - 1 :][: len(low)] & (text[: len(low)] == text[window - 1 :][: len(low)])]
     at, score = np.unique(runs[runs < worst] & ((1 << 40) - 1), return_counts=True)
-    at = at[score >= POPULAR]
+    at = at[score >= popular]
     picked: dict[int, list[bytes]] = {}
     for i, t in zip(at.tolist(), text[at].tolist(), strict=True):
-        picked.setdefault(t, []).append(joined[i : i + WINDOW])
-    for t, found in picked.items():
-        out[t] = list(dict.fromkeys(found))
-    return out
+        picked.setdefault(t, []).append(joined[i : i + window])
+    return {t: list(dict.fromkeys(found)) for t, found in picked.items()}
+
+
+def features(texts: list[bytes], rank: np.ndarray, short: np.ndarray | None = None) -> list[list[bytes]]:
+    """The features of each text, in order; those of short windows last."""
+    found = scored(texts, rank, WINDOW, POPULAR)
+    if short is not None:
+        small = [i for i, t in enumerate(texts) if 2 * SHORT <= len(t) < SHORT_BELOW]
+        for j, more in scored([texts[i] for i in small], short, SHORT, SHORT_POPULAR).items():
+            found[small[j]] = found.get(small[j], []) + more
+        for i, t in enumerate(texts):
+            if TINY <= len(t) < 4 * SHORT:
+                found[i] = found.get(i, []) + list(dict.fromkeys(t[k : k + TINY] for k in range(len(t) - TINY + 1)))
+    return [found.get(i, [t] if t else []) for i, t in enumerate(texts)]
 
 
 def fingerprint(found: list[bytes]) -> str:
@@ -126,7 +145,7 @@ def likeness(a: str, b: str) -> float:
     return float(over.max(1).mean())
 
 
-def ranks(docs: DataFrame, text_col: str = "text") -> np.ndarray:
+def ranks(docs: DataFrame, text_col: str = "text", window: int = WINDOW) -> np.ndarray:
     """Rank of each entropy level: how many levels are rarer over all windows of all texts. At most ``LEVELS`` rows are collected."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,8 +153,8 @@ def ranks(docs: DataFrame, text_col: str = "text") -> np.ndarray:
         for batch in batches:
             for part in pieces(batch, 0, 1_000_000):
                 raw = [(t or "").encode() for t in part.column(0).to_pylist()]
-                level = levels(np.frombuffer(b"".join(raw), np.uint8))
-                total += np.bincount(level[windows_in(np.array(list(map(len, raw)), np.int64))], minlength=LEVELS)
+                level = levels(np.frombuffer(b"".join(raw), np.uint8), window)
+                total += np.bincount(level[windows_in(np.array(list(map(len, raw)), np.int64), window)], minlength=LEVELS)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["level", "n"])
 
@@ -148,7 +167,7 @@ def ranks(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     return out
 
 
-def compare_edited(docs: DataFrame, rank: np.ndarray, id_col: str = "doc_id", text_col: str = "text", ranges: int | None = None) -> DataFrame:
+def compare_edited(docs: DataFrame, rank: np.ndarray, id_col: str = "doc_id", text_col: str = "text", ranges: int | None = None, short: np.ndarray | None = None) -> DataFrame:
     """Per row: fingerprints of the text and of its edited text, and how alike they are, also to the next row's.
 
     The edited text has its last quarter replaced by the start of the next row's text; rows go by id (a number, null first),
@@ -177,7 +196,7 @@ def compare_edited(docs: DataFrame, rank: np.ndarray, id_col: str = "doc_id", te
     )
     both = dealt.withColumn("lent", F.lit(False)).unionByName(lent)
     ordered = both.repartition(n, "range").sortWithinPartitions("range", "lent", F.col("id").asc_nulls_first(), "text")
-    shared = spark.sparkContext.broadcast(rank)
+    shared = spark.sparkContext.broadcast((rank, short))
 
     def compared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # the row that waits for its next one, and its fingerprint
@@ -185,21 +204,21 @@ def compare_edited(docs: DataFrame, rank: np.ndarray, id_col: str = "doc_id", te
             for part in pieces(batch, 1, 1_000_000):
                 todo = []
                 texts = [t.encode() for t in part.column(1).to_pylist()]
-                for row, found in zip(zip(*(c.to_pylist() for c in part.columns), strict=True), features(texts, shared.value), strict=True):
+                for row, found in zip(zip(*(c.to_pylist() for c in part.columns), strict=True), features(texts, *shared.value), strict=True):
                     mine = (*row, fingerprint(found))
                     if held and held[2] == row[2] and not held[3]:
                         todo.append((held, mine))
                     held = mine
-                yield edited_rows(todo, shared.value, part.schema.field(0).type)
+                yield edited_rows(todo, *shared.value, part.schema.field(0).type)
 
     made = ordered.mapInArrow(compared, f"id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
     return made.withColumnRenamed("id", id_col)
 
 
-def edited_rows(pairs: list[tuple], rank: np.ndarray, id_type: pa.DataType) -> pa.RecordBatch:
+def edited_rows(pairs: list[tuple], rank: np.ndarray, short: np.ndarray | None, id_type: pa.DataType) -> pa.RecordBatch:
     """The result for pairs of (id, text, range, lent, fingerprint), each row with the next one."""
     edited = [(a[1][: len(a[1]) - len(a[1]) // 4] + b[1][: len(a[1]) // 4]).encode() for a, b in pairs]
-    prints = list(map(fingerprint, features(edited, rank)))
+    prints = list(map(fingerprint, features(edited, rank, short)))
     columns = {
         "id": pa.array([a[0] for a, _ in pairs], id_type),
         "n_chars": pa.array([len(a[1]) for a, _ in pairs], pa.int64()),

@@ -72,7 +72,7 @@ def op7_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    return fingerprints.compare_edited(docs, fingerprints.ranks(docs))
+    return fingerprints.compare_edited(docs, fingerprints.ranks(docs), short=fingerprints.ranks(docs, window=fingerprints.SHORT))
 
 
 def op9_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
