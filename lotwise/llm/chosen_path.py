@@ -34,8 +34,8 @@ from lotwise.llm.common import GOLDEN, Sieve, WordHashes, col, mix, pieces, roll
 from lotwise.session import cut_lineage, materialise
 
 TREES = 16
-LEVELS = 4          # minwise tokens of a tree's own; deeper levels use those of the next trees
-DEPTH = 5
+LEVELS = 4          # minwise tokens of a tree's own
+DEPTH = 4
 SMALL = 32
 SIGNATURE = 128
 LEAST_AGREE = 80
