@@ -12,6 +12,7 @@ from lotwise.operators.order_stats import average_rank, value_positions
 from lotwise.session import materialise
 
 RANGES = 64  # parts in which blocks are ranked
+SHARE = 100_000  # ranks of one row of the driver's table at most
 
 
 def equal_shares(loads: list[int], n: int, m: int) -> list[int]:
@@ -45,10 +46,10 @@ def group_kfold(df: DataFrame, n_folds: int = 5, block: str = "block_id") -> Dat
     loads, packed = [0] * k, []
     for r in sizes:
         shares = equal_shares(loads, r.n, r.m)
-        packed += [(r.n, f, list(loads), shares[f]) for f in range(k) if shares[f]]
+        packed += [(r.n, f, list(loads), i * SHARE, min(shares[f] - i * SHARE, SHARE)) for f in range(k) for i in range(-(-shares[f] // SHARE))]
         loads = [load + share * r.n for load, share in zip(loads, shares, strict=True)]
-    turns = df.sparkSession.createDataFrame(packed, "n long, fold int, loads array<long>, share long")
-    turns = turns.select("n", "fold", "loads", F.explode(F.sequence(F.lit(0).cast("long"), F.col("share") - 1)).alias("j"))
+    turns = df.sparkSession.createDataFrame(packed, "n long, fold int, loads array<long>, first long, share long")
+    turns = turns.select("n", "fold", "loads", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("share") - 1)).alias("j"))
     at = F.get("loads", F.col("fold")) + F.col("j") * F.col("n")
     earlier = F.transform("loads", lambda load, g: F.when(at < load, F.lit(0).cast("long")).otherwise(
         F.floor((at - load) / F.col("n")).cast("long") + ((F.pmod(at - load, F.col("n")) > 0) | (g < F.col("fold"))).cast("long")))
