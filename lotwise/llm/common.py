@@ -28,6 +28,18 @@ def col(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each lengthened until no column of ``df`` has it, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def fold_of(id_col: str, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``; rows without an id are in fold -1."""
     return F.coalesce(F.crc32(col(id_col).cast("string").cast("binary")) % folds, F.lit(-1))

@@ -60,3 +60,15 @@ def without_repeats(k: int = 20) -> str:
       words as (select doc_id, p, w[p] word from (select doc_id, w, unnest(range(1, len(w) + 1)) p from docs)),
       kept as (select x.doc_id, string_agg(word, ' ' order by x.p) t, count(*) n from words x anti join gone g on g.doc_id = x.doc_id and g.p = x.p group by x.doc_id)
       select d.doc_id, len(w)::bigint n_words, len(w)::bigint - coalesce(n, 0) n_removed, sha256(coalesce(t, '')) kept_sha256 from docs d left join kept k on k.doc_id = d.doc_id"""
+
+
+def fill_middle() -> str:
+    draw = lambda i: f"('0x' || substr(h, {1 + 8 * i}, 8))::bigint"
+    part = lambda lo, hi: f"array_to_string(list_slice(u, {lo}, {hi}), '')"
+    return f"""with units as (select doc_id, coalesce(text, '') t, sha256('7:' || doc_id) h, regexp_extract_all(coalesce(text, ''), '[^\\n]*\\n|[^\\n]+') u from documents),
+      drawn as (select *, len(u)::bigint n, {draw(0)} % (len(u) + 1) x, {draw(1)} % (len(u) + 1) y from units),
+      parts as (select *, {part('1', 'least(x, y)')} p, {part('least(x, y) + 1', 'greatest(x, y)')} m, {part('greatest(x, y) + 1', 'n')} s,
+        case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') then 'plain' when {draw(3)} % 100 < 50 then 'spm' else 'psm' end form from drawn)
+      select doc_id, n, form, case when form <> 'plain' then length(p) end prefix_chars, case when form <> 'plain' then length(m) end middle_chars,
+        sha256(case form when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m when 'spm' then '<S>' || s || '<P>' || p || '<M>' || m else t end) output_sha256,
+        sha256(t) restored_sha256 from parts"""
