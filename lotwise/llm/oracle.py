@@ -72,3 +72,14 @@ def fill_middle() -> str:
       select doc_id, n, form, case when form <> 'plain' then length(p) end prefix_chars, case when form <> 'plain' then length(m) end middle_chars,
         sha256(case form when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m when 'spm' then '<S>' || s || '<P>' || p || '<M>' || m else t end) output_sha256,
         sha256(t) restored_sha256 from parts"""
+
+
+def without_repeated_lines(least: int = 40, docs: int = 5) -> str:
+    white = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    return f"""with split as (select doc_id, string_split(coalesce(text, ''), chr(10)) x from documents),
+      lines as (select doc_id, unnest(x) line, unnest(range(1, len(x) + 1)) i from split),
+      keyed as (select *, translate(trim(line, {white}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') k from lines),
+      often as (select k, max(doc_id) keeper from keyed where length(k) >= {least} group by k having count(distinct doc_id) >= {docs}),
+      marked as (select y.doc_id, line, i, o.k is not null and y.doc_id <> keeper gone from keyed y left join often o on o.k = y.k)
+      select doc_id, count(*) n_lines, count(*) filter (gone) n_dropped, sha256(coalesce(string_agg(line, chr(10) order by i) filter (not gone), '')) kept_sha256
+      from marked group by doc_id"""

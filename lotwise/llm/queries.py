@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotwise.llm import bpe, chosen_path, fill_middle, fingerprints, language_id, lm_score, mixing, oracle, quality_knn, quality_rules, secret_scan, substring_dedup
+from lotwise.llm import bpe, chosen_path, fill_middle, fingerprints, language_id, line_runs, lm_score, mixing, oracle, quality_knn, quality_rules, secret_scan, substring_dedup
 from lotwise.llm.common import documents, fold_of, labels
 from lotwise.session import materialise
 
@@ -91,6 +91,11 @@ def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
 
 
+def op12_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = line_runs.without_repeats(documents(spark, sf_dir).select("doc_id", "text"))
+    return rows.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_secret_scan": op2_secret_scan,
@@ -103,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_chosen_path": op9_chosen_path,
     "op10_substring_dedup": op10_substring_dedup,
     "op11_fill_middle": op11_fill_middle,
+    "op12_line_runs": op12_line_runs,
 }
 #: Ids, hashed n-grams, fitted models and digests are beyond SQL; tests/llm holds these queries' operators against brute force.
 ORACLE: dict[str, str] = {
@@ -110,4 +116,5 @@ ORACLE: dict[str, str] = {
     "op9_chosen_path": oracle.near_duplicates(),
     "op10_substring_dedup": oracle.without_repeats(),
     "op11_fill_middle": oracle.fill_middle(),
+    "op12_line_runs": oracle.without_repeated_lines(),
 }
