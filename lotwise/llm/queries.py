@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotwise.llm import bpe, chosen_path, fill_middle, fingerprints, language_id, line_runs, lm_score, mixing, oracle, quality_knn, quality_rules, secret_scan, substring_dedup
+from lotwise.llm import bpe, chosen_path, fill_middle, fingerprints, language_id, line_runs, lm_score, mixing, oracle, quality_knn, quality_rules, secret_scan, substring_dedup, vector_trie
 from lotwise.llm.common import documents, fold_of, labels
 from lotwise.session import materialise
 
@@ -96,6 +96,10 @@ def op12_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op13_vector_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_trie.variants(vector_trie.words(documents(spark, sf_dir)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_secret_scan": op2_secret_scan,
@@ -109,6 +113,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_substring_dedup": op10_substring_dedup,
     "op11_fill_middle": op11_fill_middle,
     "op12_line_runs": op12_line_runs,
+    "op13_vector_trie": op13_vector_trie,
 }
 #: Ids, hashed n-grams, fitted models and digests are beyond SQL; tests/llm holds these queries' operators against brute force.
 ORACLE: dict[str, str] = {
