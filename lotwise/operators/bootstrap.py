@@ -8,11 +8,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lotwise.operators.models import fit_boosted
-from lotwise.session import scratch_path, side_by_side
+from lotwise.operators import boosting
+from lotwise.session import materialise
 
 RATE = 0.8
-BATCH = 10  # models that score the rows in one scan
 
 
 def _uniform(key: Column, run: Column | int) -> Column:
@@ -39,22 +38,17 @@ def bootstrap_weights(df: DataFrame, runs: int = 100, key: str = "parcel_id") ->
     return exploded.withColumn("weight", poisson_weight(F.col(key), F.col("run"))).where(F.col("weight") > 0)
 
 
-def bootstrap_scores(labelled: DataFrame, valid: DataFrame, features: Sequence[str], runs: int = 100, label: str = "proxy_label", key: str = "parcel_id", **params) -> DataFrame:
-    """Scores (run, key, p) of a boosted classifier fitted on each draw, min-maxed per run; one scan of ``valid`` for ``BATCH`` draws."""
-    def fit(run: int):
-        drawn = labelled.withColumn("_w", poisson_weight(F.col(key), run).cast("double")).where(F.col("_w") > 0)
-        return fit_boosted(drawn, features, label, weightCol="_w", **{"seed": 42 + run, **params})
-
-    path = scratch_path(labelled.sparkSession, "bootstrap-scores")
-    for start in range(0, runs, BATCH):
-        batch = range(start, min(start + BATCH, runs))
-        wide = valid.select(key, *features)
-        for run, score in zip(batch, side_by_side(labelled.sparkSession, [lambda r=r: fit(r) for r in batch]), strict=True):
-            wide = score(wide).withColumnRenamed("score", f"_p{run}").drop("predicted")
-        scores = F.array(*[F.struct(F.lit(r).alias("run"), F.col(f"_p{r}").alias("_p")) for r in batch])
-        wide.select(key, F.inline(scores)).write.mode("append").parquet(path)
-    kind = valid.schema[key].dataType.simpleString()
-    long = labelled.sparkSession.read.schema(f"`{key}` {kind}, run int, _p double").parquet(path)
+def bootstrap_scores(
+    labelled: DataFrame, valid: DataFrame, features: Sequence[str], runs: int = 100, label: str = "proxy_label", key: str = "parcel_id",
+    n_estimators: int = 100, max_depth: int = 3, learning_rate: float = 0.05, seed: int = 42,
+) -> DataFrame:
+    """Scores (run, key, p) of a boosted classifier per draw, min-maxed per run. All draws grow side by side, each with its own
+    weights of the rows, and score ``valid`` in one scan."""
+    specs = [boosting.Spec(max_depth, learning_rate, seed + run) for run in range(runs)]
+    weights = [poisson_weight(F.col(key), run) for run in range(runs)]
+    model = boosting.train(labelled, features, specs, n_estimators, "logistic", key, label, weights=weights, least_child=1.0)
+    odds = model.score(valid, [key]).select(F.col("model").alias("run"), key, (1.0 / (1.0 + F.exp(-F.col("score")))).alias("_p"))
+    long = materialise(odds, "bootstrap-scores")
     ends = long.groupBy("run").agg(F.min("_p").alias("_a"), F.max("_p").alias("_b"))  # one row per run
     return long.join(F.broadcast(ends), "run").select(
         "run", key, ((F.col("_p") - F.col("_a")) / (F.col("_b") - F.col("_a") + 1e-9) * 100.0).alias("p")

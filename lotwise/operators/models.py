@@ -1,6 +1,6 @@
-"""Models on Spark ML: classifiers, a boosted ranker, cross-validation, contributions of features.
+"""Models: classifiers of Spark ML, a boosted ranker, cross-validation, contributions of features.
 
-The ranker boosts regression trees on pairwise NDCG gradients. It pairs rows only with the first ``k`` of
+The ranker boosts trees on pairwise NDCG gradients (``boosting``). It pairs rows only with the first ``k`` of
 their block, so the pairs grow linearly with the rows and not with the square of a block.
 """
 
@@ -15,15 +15,15 @@ from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lotwise import catalog as K
 from lotwise.functions.numeric import add_all, half_even
-from lotwise.operators.evaluation import fold_metrics
-from lotwise.session import cut_lineage, materialise, side_by_side
+from lotwise.operators import boosting
+from lotwise.operators.evaluation import ndcg_at_k
+from lotwise.session import materialise, side_by_side
 
 # fixed values: combinations tried for the ranker
 RANKER_GRID = {"n_estimators": [100, 200, 300], "max_depth": [3, 4, 5], "learning_rate": [0.03, 0.05, 0.1]}
@@ -107,52 +107,38 @@ def ranking_gradients(df: DataFrame, query: str, k: int = 20, key: str = "parcel
     return rows.select(*df.columns, grad.alias("grad"), hess.alias("hess"))
 
 
-class BoostedRanker:
-    """Sum of small regression trees; ``score_column`` is one expression chain per tree."""
+class Ranker:
+    """A fitted ranker; ``transform`` adds ``score``."""
 
-    def __init__(self, rate: float):
-        self.rate = rate
-        self.stages: list[tuple[VectorAssembler, Transformer]] = []
-
-    def add(self, vec: VectorAssembler, tree: Transformer) -> None:
-        self.stages.append((vec, tree))
-
-    def step(self, df: DataFrame, i: int) -> DataFrame:
-        vec, tree = self.stages[i]
-        done = tree.transform(vec.transform(df))
-        return done.withColumn("score", F.col("score") + F.col("prediction") * self.rate).drop("prediction", vec.getOutputCol())
+    def __init__(self, model: boosting.Boosted):
+        self.model = model
 
     def transform(self, df: DataFrame) -> DataFrame:
-        out = df.withColumn("score", F.lit(0.0))
-        for i in range(len(self.stages)):
-            out = self.step(out, i)
-            if i % 50 == 49:
-                out = cut_lineage(out)
-        return out
+        return self.model.score(df, df.columns).drop("model")
 
 
 def fit_ranker(
     df: DataFrame, features: Sequence[str], query: str = "block_id", label: str = "label", key: str = "parcel_id",
-    n_estimators: int = 300, max_depth: int = 4, learning_rate: float = 0.05, k: int = 20,
-    subsample: float = 0.8, colsample: float = 0.8, seed: int = 42,
-) -> BoostedRanker:
-    """Each tree fits gradient over curvature with the curvature as weight, so a leaf is a Newton step."""
-    rng = random.Random(seed)
-    model = BoostedRanker(learning_rate)
-    state = cut_lineage(df.select(key, query, label, *features).withColumn("score", F.lit(0.0)))
-    for i in range(n_estimators):
-        grads = ranking_gradients(state, query, k, key, label).where(F.col("hess") > 1e-12)
-        chosen = sorted(rng.sample(list(features), max(1, round(colsample * len(features)))))
-        vec = assemble(chosen, f"_vec{i}")
-        sample = cut_lineage(vec.transform(grads.withColumn("step", F.col("grad") / F.col("hess"))).sample(False, subsample, seed + i))
-        if sample.isEmpty():
-            break
-        tree = DecisionTreeRegressor(
-            featuresCol=f"_vec{i}", labelCol="step", weightCol="hess", maxDepth=max_depth, seed=seed + i
-        ).fit(sample)
-        model.add(vec, tree)
-        state = cut_lineage(model.step(state, i))
-    return model
+    n_estimators: int = 300, max_depth: int = 4, learning_rate: float = 0.05, k: int = 20, seed: int = 42,
+) -> Ranker:
+    """Trees boosted on the NDCG@k pair loss; rows are compared within their ``query``."""
+    spec = boosting.Spec(max_depth, learning_rate, seed)
+    return Ranker(boosting.train(df, features, [spec], n_estimators, "ndcg", key, label, query, k=k))
+
+
+def rankers_out_of_fold(
+    df: DataFrame, features: Sequence[str], specs: Sequence[boosting.Spec], looks: Sequence[int],
+    query: str = "block_id", label: str = "label", key: str = "parcel_id", k: int = 20,
+) -> DataFrame:
+    """(key, ``label``, ``fold``, ``model``, ``n_estimators``, ``score``): held-out rows of every ranker after each number of trees."""
+    model = boosting.train(df, features, specs, max(looks), "ndcg", key, label, query, "fold", k=k)
+    return materialise(model.out_of_fold(df, [key, label, "fold"], looks), "out-of-fold")
+
+
+def cross_validate_ranker(df: DataFrame, features: Sequence[str], folds: Iterable[int], n_estimators: int = 300, max_depth: int = 4, learning_rate: float = 0.05, seed: int = 42) -> DataFrame:
+    """Out-of-fold scores of the ranker; the models of all folds are grown side by side."""
+    specs = [boosting.Spec(max_depth, learning_rate, seed, f) for f in folds]
+    return rankers_out_of_fold(df, features, specs, [n_estimators]).drop("model", "n_estimators").withColumn("model", F.lit("ranker"))
 
 
 # --- cross-validation ----------------------------------------------------------------------------------------
@@ -164,20 +150,23 @@ def cross_validate(df: DataFrame, fit: Callable[[DataFrame], Scorer], name: str,
     return reduce(DataFrame.unionByName, parts).withColumn("model", F.lit(name))
 
 
-def grid_search(df: DataFrame, fit: Callable[..., Scorer], grid: Mapping[str, Sequence], folds: Sequence[int], k: int = 20) -> DataFrame:
-    """Mean NDCG at k over folds per combination, with the first strictly best one marked."""
-    names = list(grid)
-    parts, combos = [], list(product(*grid.values()))
-    for i, values in enumerate(combos):
-        params = dict(zip(names, values))
-        parts.append(cross_validate(df, lambda d, p=params: fit(d, **p), f"{i:03d}", folds).select("model", "fold", "parcel_id", "label", "score"))
-    scores = materialise(reduce(DataFrame.unionByName, parts), "grid-scores")
-    mean = fold_metrics(scores, k).groupBy("model").agg(F.avg("ndcg").alias("mean_ndcg"))
-    rows = sorted((r["model"], r["mean_ndcg"]) for r in mean.collect())  # one row per combination
-    best = max(rows, key=lambda r: (r[1], -int(r[0])))[0]
-    table = [(*map(float, combos[int(m)]), float(v), m == best) for m, v in rows]
-    schema = ", ".join([*[f"{n} double" for n in names], "mean_ndcg double", "is_best boolean"])
-    return df.sparkSession.createDataFrame(table, schema)
+def grid_search(df: DataFrame, features: Sequence[str], grid: Mapping[str, Sequence] = RANKER_GRID, folds: Iterable[int] = range(5), k: int = 20, seed: int = 42) -> DataFrame:
+    """Mean NDCG at k over folds per combination of the ranker, with the first strictly best one marked.
+
+    Every depth and rate is grown on every fold side by side, up to the largest number of trees; a smaller number is a look on the way.
+    """
+    combos = list(product(*(grid[n] for n in ("n_estimators", "max_depth", "learning_rate"))))
+    pairs = sorted({(depth, rate) for _, depth, rate in combos})
+    specs = [boosting.Spec(depth, rate, seed, f) for depth, rate in pairs for f in folds]
+    scores = rankers_out_of_fold(df, features, specs, sorted({n for n, _, _ in combos}), k=k)
+    spark = df.sparkSession
+    named = spark.createDataFrame([(i, s.depth, s.rate) for i, s in enumerate(specs)], "model int, max_depth int, learning_rate double")
+    group = ["n_estimators", "max_depth", "learning_rate"]
+    per_fold = ndcg_at_k(scores.join(F.broadcast(named), "model"), k, [*group, "fold"])
+    mean = {(r.n_estimators, r.max_depth, r.learning_rate): r.ndcg for r in per_fold.groupBy(*group).agg(F.avg("ndcg").alias("ndcg")).collect()}  # one row per combination
+    best = max(combos, key=lambda c: mean[c])
+    table = [(*map(float, c), float(mean[c]), c == best) for c in combos]
+    return spark.createDataFrame(table, "n_estimators double, max_depth double, learning_rate double, mean_ndcg double, is_best boolean")
 
 
 def rescale_scores(df: DataFrame, score: str = "score", out: str = "CPI_ML_v3") -> DataFrame:

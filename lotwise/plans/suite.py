@@ -875,8 +875,8 @@ def _(spark, sf):
 @query("model_ranker")
 def _(spark, sf):
     """Scores of every labelled parcel by the ranker of the other folds; each fold has a model, so a scale, of its own."""
-    cv = models.cross_validate(model_input(spark, sf), lambda d: models.fit_ranker(d, K.FEATURES).transform, "ranker", FOLDS)
-    cv = materialise(cv.select("parcel_id", "label", "fold", "score"), "ranked")
+    cv = models.cross_validate_ranker(model_input(spark, sf), K.FEATURES, FOLDS)
+    cv = cv.select("parcel_id", F.col("label").cast("int").alias("label"), "fold", "score")
     scaled = [models.rescale_scores(cv.where(F.col("fold") == f)) for f in FOLDS]
     return reduce(DataFrame.unionByName, scaled).select("parcel_id", "label", "fold", "score", "CPI_ML_v3")
 
@@ -889,10 +889,7 @@ def _(spark, sf):
 
 @query("grid_search")
 def _(spark, sf):
-    def fit(d, n_estimators, max_depth, learning_rate):
-        return models.fit_ranker(d, K.FEATURES, n_estimators=n_estimators, max_depth=max_depth, learning_rate=learning_rate).transform
-
-    return models.grid_search(model_input(spark, sf), fit, models.RANKER_GRID, FOLDS)
+    return models.grid_search(model_input(spark, sf), K.FEATURES, models.RANKER_GRID, FOLDS)
 
 
 @query("ndcg_at_k")

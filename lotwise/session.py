@@ -103,6 +103,15 @@ def write_table(df: DataFrame, label: str) -> str:
     return path
 
 
+def drop_table(spark: SparkSession, path: str) -> None:
+    """Delete a table that this application wrote for itself and no longer reads."""
+    root = f"{shared_root(spark)}/{spark.sparkContext.applicationId}/"
+    if not path.startswith(root):
+        raise ValueError(f"{path} is not a scratch table of this application")
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def is_written(spark: SparkSession, path: str) -> bool:
     """Whether a table that was written to the end still lies at ``path``."""
     mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
