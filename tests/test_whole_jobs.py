@@ -3,13 +3,12 @@
 import heapq
 import math
 import random
-from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from lotwise import catalog as K
-from lotwise.operators import bootstrap, clustering, models
+from lotwise.operators import boosting, clustering, models
 from lotwise.operators.terrain_flow import OFFSETS
 from lotwise.plans import suite
 
@@ -42,53 +41,46 @@ OTHERS = [[f for f in range(5) if f != out] for out in range(5)]
 def test_grid_search_tries_all_combinations_of_the_ranker_on_all_folds(spark, learning, monkeypatch):
     calls = []
     monkeypatch.setattr(suite, "model_input", lambda *_: learning)
-    monkeypatch.setattr(models, "fit_ranker", Fake(calls))
+    real = boosting.train
+
+    def short(df, features, specs, n_trees, *args, **kw):
+        calls.append((n_trees, {(s.depth, s.rate, s.fold) for s in specs}, len(specs)))
+        return real(df, features, specs[:5], 2, *args, **kw)
+
+    monkeypatch.setattr(boosting, "train", short)
+    monkeypatch.setattr(boosting.Boosted, "out_of_fold", lambda self, df, keep, looks: df.select(*keep, F.explode(F.sequence(F.lit(0), F.lit(44))).alias("model"), F.lit(sorted(looks)).alias("n"), "CPI_v3").where("model%5=fold").select(*keep, "model", F.explode("n").alias("n_estimators"), F.col("CPI_v3").alias("score")))
     got = suite.QUERIES["grid_search"](spark, "").collect()
     assert len({(r.n_estimators, r.max_depth, r.learning_rate) for r in got}) == 27 and sum(r.is_best for r in got) == 1
-    assert Counter(str(sorted(p.items())) for p, _ in calls).most_common()[-1][1] == 5 and len(calls) == 135
-    assert Counter(map(str, (f for _, f in calls))) == {str(o): 27 for o in OTHERS}
+    assert calls == [(300, {(d, r, f) for d in (3, 4, 5) for r in (0.03, 0.05, 0.1) for f in range(5)}, 45)]
 
 
 def test_ranker_and_forest_run_with_their_defaults_on_all_folds(spark, learning, monkeypatch):
     monkeypatch.setattr(suite, "model_input", lambda *_: learning)
-    for name, fit in (("model_ranker", "fit_ranker"), ("model_forest", "fit_forest")):
-        calls = []
-        monkeypatch.setattr(models, fit, Fake(calls))
-        rows = suite.QUERIES[name](spark, "").collect()
-        assert sorted(map(str, calls)) == sorted(str(({}, o)) for o in OTHERS)
-        assert {r.fold for r in rows} == set(range(5))
+    calls = []
+    monkeypatch.setattr(models, "fit_forest", Fake(calls))
+    rows = suite.QUERIES["model_forest"](spark, "").collect()
+    assert sorted(map(str, calls)) == sorted(str(({}, o)) for o in OTHERS)
+    assert {r.fold for r in rows} == set(range(5))
     ranked = suite.QUERIES["model_ranker"](spark, "").collect()
-    assert len(ranked) == 100 and Counter(r.CPI_ML_v3 for r in ranked)[0.0] == 5  # the least of each fold
-
-
-def test_ranker_under_folds_is_fitted_without_the_rows_it_scores(spark, learning):
-    cv = models.cross_validate(learning, lambda d: models.fit_ranker(d, K.FEATURES[:3], n_estimators=1).transform, "ranker", [0, 1])
-    assert cv.where("score is not null").count() == 40
+    assert len({r.parcel_id for r in ranked}) == len(ranked) == 100 and {r.fold for r in ranked} == set(range(5))
+    for f in range(5):  # each fold is scaled by its own ends
+        scaled = [r.CPI_ML_v3 for r in ranked if r.fold == f]
+        assert min(scaled) == 0.0 and max(scaled) == 100.0
 
 
-def test_fitted_bootstrap_runs_all_draws_and_scores_them_in_batches(spark, learning, monkeypatch):
+def test_fitted_bootstrap_runs_all_draws(spark, learning, monkeypatch):
     labelled = learning.withColumnRenamed("label", "proxy_label").withColumn("is_valid", F.lit(True))
-    real, calls = bootstrap.fit_boosted, []
     monkeypatch.setattr(suite.P, "scored", lambda *_: labelled)
+    calls, real = [], boosting.train
 
-    def fit(df, features, label, **params):
-        calls.append(params)
-        return lambda d: d.withColumn("score", F.col("parcel_id") * float(params["seed"])).withColumn("predicted", F.lit(1))
+    def short(df, features, specs, n_trees, *args, **kw):
+        calls.append((n_trees, sorted(s.seed for s in specs), len(kw["weights"])))
+        return real(df, features, specs, 1, *args, **kw)
 
-    monkeypatch.setattr(bootstrap, "fit_boosted", fit)
+    monkeypatch.setattr(boosting, "train", short)
     got = suite.QUERIES["bootstrap_ci_fitted"](spark, "").collect()
-    assert len(got) == 100 and sorted(p["seed"] for p in calls) == [42 + r for r in range(100)]
-    assert all(set(p) == {"seed", "weightCol"} for p in calls)
-    monkeypatch.setattr(bootstrap, "fit_boosted", real)
-    monkeypatch.setattr(bootstrap, "BATCH", 2)
-    feats = K.FEATURES[:3]
-    long = {(r.run, r.parcel_id): r.p for r in bootstrap.bootstrap_scores(labelled, labelled, feats, runs=3, maxIter=2).collect()}
-    assert len(long) == 300
-    drawn = labelled.withColumn("_w", bootstrap.poisson_weight(F.col("parcel_id"), 2).cast("double")).where("_w>0")
-    alone = {r.parcel_id: r.score for r in real(drawn, feats, "proxy_label", weightCol="_w", seed=44, maxIter=2)(labelled).collect()}
-    low, high = min(alone.values()), max(alone.values())
-    for k, v in alone.items():
-        assert long[2, k] == pytest.approx((v - low) / (high - low + 1e-9) * 100)
+    assert len(got) == 100 and calls == [(100, list(range(42, 142)), 100)]
+    assert all(r.cpi_ml_ci_low <= r.cpi_ml_mean <= r.cpi_ml_ci_high for r in got)
 
 
 def test_shapley_and_label_check_run_with_their_defaults(spark, learning, monkeypatch):
