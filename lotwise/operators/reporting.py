@@ -116,13 +116,14 @@ def shap_group_importance(importance: DataFrame) -> DataFrame:
 
 
 def histogram(df: DataFrame, column: str, bins: int = 20) -> DataFrame:
-    """Counts of equal bins between the minimum and the maximum; the last bin holds the maximum."""
+    """Counts of equal bins between the minimum and the maximum. A bin holds its lower edge, the last one the maximum as well."""
     low, high = df.agg(F.min(column), F.max(column)).first()
     known = df.where(F.col(column).isNotNull())
-    if low is None or low == high:
-        at = F.lit(1)
-    else:
-        at = F.least(F.width_bucket(F.col(column), F.lit(float(low)), F.lit(float(high)), F.lit(bins)), F.lit(bins))
+    at = F.lit(1)
+    if low is not None and low != high:
+        low, width = float(low), float(high) - float(low)
+        for k in range(1, bins):  # against the edges themselves: a quotient rounds values on an edge to either side
+            at = at + (F.col(column) >= low + k * width / bins).cast("int")
     return known.groupBy(at.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 

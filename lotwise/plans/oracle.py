@@ -492,7 +492,8 @@ _IMP = " union all ".join(f"select {q(f)} feature, {q(_GROUP[f])} groupe, avg(ab
 put("shap_importance", f"select feature, groupe, {R('v', 'mean_abs_shap')} from ({_IMP})")
 put("shap_group_importance", f"select groupe, {R('sum(v)', 'mean_abs_shap')} from ({_IMP}) group by groupe")
 put("histogram", " union all ".join(
-    f"""select bin, count(*) n, {q(s)} score from (select least(cast(floor(20*(({s}-lo)/(hi-lo))) as int)+1, 20) bin from scored cross join (select min({s}) lo, max({s}) hi from scored) where {s} is not null) group by bin"""
+    f"""select bin, count(*) n, {q(s)} score from (select 1+len(list_filter(range(1, 20), lambda k: {s} >= lo + k*(hi-lo)/20.0::double))::int bin
+      from scored cross join (select min({s})::double lo, max({s})::double hi from scored) where {s} is not null) group by bin"""
     for s in ("CPI_technique", "cpi_ml_std")))
 put("cluster_profile", f"select cluster_id, {RS(*PROFILE, 'label_rate')} from profile")
 

@@ -191,3 +191,17 @@ def test_shortlist_and_profiles(spark):
     df = spark.createDataFrame([("73065AB1", 80.0), ("73065 AB2", 70.0)], "parcel_id string, CPI_technique double")
     asked = spark.createDataFrame([(" 73065-ab1",), ("73065AB1",), ("zz",), ("",)], "requested string")
     assert [r.parcel_id for r in screening.shortlist(df, asked).collect()] == ["73065AB1"]
+
+
+def test_histogram_puts_values_on_an_edge_to_the_right(spark):
+    from lotwise.operators.reporting import histogram
+
+    values = [3.0 + k * 4.85 for k in range(21)] + [22.4, 100.0, 99.99, None]
+    edges = [3.0 + k * 97.0 / 20 for k in range(21)]
+    want = {}
+    for v in values[:-1]:
+        at = min(20, sum(v >= e for e in edges))
+        want[at] = want.get(at, 0) + 1
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    assert {r.bin: r.n for r in histogram(df, "x").collect()} == want
+    assert [(r.bin, r.n) for r in histogram(df.where("x = 3"), "x").collect()] == [(1, 1)] and histogram(df.where("x is null"), "x").collect() == []
