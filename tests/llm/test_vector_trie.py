@@ -79,9 +79,9 @@ def test_variants_equal_brute_force(spark):
 
 
 def test_a_leaf_with_many_words_is_dealt(spark):
-    letters = "vwxyzjkq"  # all in the last group: one leaf
+    letters = "xzjq"  # all in the last group: one leaf
     r = random.Random(1)
-    n = {"".join(r.choice(letters) for _ in range(6)): r.choice([5, 25, 99]) for _ in range(300)}
+    n = {"".join(r.choice(letters) for _ in range(7)): r.choice([5, 25, 99]) for _ in range(300)}
     assert len({V.vector(w) for w in n}) == 1
     rows = spark.createDataFrame(list(n.items()), "word string, n long")
     assert got(V.variants(rows, limit=20)) == brute(n)
