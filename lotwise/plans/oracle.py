@@ -255,15 +255,24 @@ CTE: dict[str, str] = {
 }
 # steepest drop among eight neighbours: diagonals are sqrt(2) away, ties go to reading order
 _STEP = {"nw": (-1, -1), "n": (-1, 0), "ne": (-1, 1), "w": (0, -1), "e": (0, 1), "sw": (1, -1), "s": (1, 0), "se": (1, 1)}
-_drop = {k: f"coalesce((z-{k})/{math.hypot(*v)!r}::double,0)" for k, v in _STEP.items()}
-CTE["drops"] = "select *, greatest(" + ", ".join(_drop.values()) + ") d from stencil"
-CTE["pointers"] = (
-    "select r, c, z, case when z is null or d<=0 then null "
-    + " ".join(f"when {_drop[k]}=d then (r+{dr})*100000+(c+{dc})" for k, (dr, dc) in _STEP.items())
-    + " end dest, r*100000+c k from drops"
-)
-CTE["walk"] = "select k s, k cur from pointers where z is not null union all select w.s, p.dest from walk w join pointers p on w.cur=p.k where p.dest is not null"
-CTE["acc"] = "select p.r, p.c, p.z, case when p.z is not null then a.n end accumulation from pointers p left join (select cur, count(*) n from walk group by cur) a on a.cur=p.k"
+# least surface above the ground on which every cell with eight known neighbours drains, by flooding from the other cells
+CTE["cell_links"] = """select a.r, a.c, b.r r2, b.c c2 from fx_cells a cross join (select unnest(range(-1, 2)) i) cross join (select unnest(range(-1, 2)) j)
+  join fx_cells b on b.r=a.r+i and b.c=a.c+j where a.z is not null and b.z is not null and (i<>0 or j<>0)"""
+CTE["inner_cells"] = "select r, c from cell_links group by r, c having count(*)=8"
+CTE["flood"] = """select 0 step, a.r, a.c, z, i.r is not null inside, case when i.r is null then z else 'inf'::double end w, true moved
+    from fx_cells a left join inner_cells i on i.r=a.r and i.c=a.c where z is not null
+  union all select step+1, r, c, z, inside, v, v<w from (
+    select f.step, f.r, f.c, f.z, f.inside, f.w, case when f.inside then greatest(f.z, least(f.w, m.low+1e-4::double)) else f.w end v
+    from flood f left join (select x.r, x.c, min(g.w) low from cell_links x join flood g on g.r=x.r2 and g.c=x.c2 group by x.r, x.c) m on m.r=f.r and m.c=f.c
+    where exists (select 1 from flood where moved))"""
+CTE["filled_cells"] = "select r, c, w from flood where step=(select max(step) from flood)"
+_offsets = ", ".join(f"({i},{dr},{dc},{math.hypot(dr, dc)!r}::double)" for i, (dr, dc) in enumerate(_STEP.values()))
+CTE["filled_drops"] = f"""select a.r, a.c, (a.r+dr)*100000+(a.c+dc) dest, i, (a.w-b.w)/h d from filled_cells a cross join (values {_offsets}) o(i,dr,dc,h)
+  join filled_cells b on b.r=a.r+dr and b.c=a.c+dc where a.w>b.w"""
+CTE["filled_pointers"] = """select f.r, f.c, f.z, f.r*100000+f.c k, p.dest from fx_cells f
+  left join (select r, c, arg_min(dest, i) dest from (select *, max(d) over (partition by r, c) steepest from filled_drops) where d=steepest group by r, c) p on p.r=f.r and p.c=f.c"""
+CTE["filled_walk"] = "select k s, k cur from filled_pointers where z is not null union all select w.s, p.dest from filled_walk w join filled_pointers p on w.cur=p.k where p.dest is not null"
+CTE["acc"] = "select p.r, p.c, p.z, case when p.z is not null then a.n end accumulation from filled_pointers p left join (select cur, count(*) n from filled_walk group by cur) a on a.cur=p.k"
 _given_runs = "select run, parcel_id, ((parcel_id*31+run*run*17+run*7)%1009)/1009.0::double*least(slope_p50,30)+40.0::double p from features cross join (select unnest(range(40)) run)"
 CTE["runs"] = _given_runs
 CTE["intervals"] = "select parcel_id, avg(p) cpi_ml_mean, stddev_pop(p) cpi_ml_std, quantile_cont(p,0.025) cpi_ml_ci_low, quantile_cont(p,0.975) cpi_ml_ci_high from runs group by parcel_id"
@@ -288,7 +297,8 @@ CTE["final0_t"] = CTE["final0"].replace("/10.0::double)", "/tau_v::double)").rep
 CTE["comp"] = "select r, c, r*2147483648::bigint+c k from flat where flat=1"
 CTE["reach"] = """select k root, r, c from comp union select h.root, x.r, x.c from reach h cross join (values (0,1),(0,-1),(1,0),(-1,0)) o(dr,dc)
   join comp x on x.r=h.r+o.dr and x.c=h.c+o.dc"""
-RECURSIVE = {"walk", "packed", "bis14", "bis18", "reach"}
+RECURSIVE = {"flood", "filled_walk", "packed", "bis14", "bis18", "reach"}
+KEPT = {"cell_links", "inner_cells", "filled_cells", "filled_pointers"}  # read in every round of a recursion
 _order = list(CTE)
 ORACLE: dict[str, str] = {}
 
@@ -316,7 +326,7 @@ def put(name: str, sql: str) -> None:
     for n in used:
         visit(n)
     recursive = "recursive " if RECURSIVE.intersection(done) else ""
-    prefix = ", ".join(f"{n} as ({CTE[n]})" for n in done)
+    prefix = ", ".join(f"{n} as {'materialized ' if n in KEPT else ''}({CTE[n]})" for n in done)
     ORACLE[name] = f"with {recursive}{prefix} {sql}" if prefix else sql
 
 
@@ -438,10 +448,14 @@ put("curvature_laplacian", f"""select a.r, a.c, {R('case when a.z is not null th
   on b.r=(case when a.r+i<0 then -1-(a.r+i) when a.r+i>mr then 2*mr+1-(a.r+i) else a.r+i end) and b.c=(case when a.c+j<0 then -1-(a.c+j) when a.c+j>mc then 2*mc+1-(a.c+j) else a.c+j end)
   group by a.r, a.c, a.z""")
 put("flat_mask", "select r, c, flat from flat")
-put("flow_accumulation_d8", "select r, c, accumulation from acc")
-put("twi", f"""select s.r, s.c, {R('case when slope_deg is not null and accumulation is not null then least(20, ln(greatest(accumulation*0.25::double,0.25)/tan(greatest(radians(slope_deg),radians(0.5))))) end', 'twi')}
+put("fill_depressions", f"select a.r, a.c, {R('a.z', 'z')}, {R('w', 'filled')} from fx_cells a left join filled_cells f on f.r=a.r and f.c=a.c")
+for _name in ("flow_accumulation_d8", "flow_accumulation_d8_filled"):
+    put(_name, "select r, c, accumulation from acc")
+for _name in ("twi", "twi_filled"):
+    put(_name, f"""select s.r, s.c, {R('case when slope_deg is not null and accumulation is not null then least(20, ln(greatest(accumulation*0.25::double,0.25)/tan(greatest(radians(slope_deg),radians(0.5))))) end', 'twi')}
   from slopes s join acc a on s.r=a.r and s.c=a.c""")
-put("thalweg_mask", "select r, c, case when z is not null then (accumulation>=5)::int end thalweg from acc")
+for _name in ("thalweg_mask", "thalweg_mask_filled"):
+    put(_name, "select r, c, case when z is not null then (accumulation>=500)::int end thalweg from acc")
 _offs = ", ".join(f"({d},{dr},{dc},{math.hypot(dr, dc) * 50.0!r}::double)" for d, line in enumerate(sky_offsets()) for dr, dc in line)
 put("sky_view_factor", f"""select r, c, {R('case when z is not null then 1-avg(sn) end', 'svf')} from (
   select a.r, a.c, a.z, o.d, sin(atan(greatest(0, coalesce(max((b.z-a.z)/o.dist),0)))) sn from fx_cells a cross join (values {_offs}) o(d,dr,dc,dist)

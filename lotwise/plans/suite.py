@@ -459,45 +459,26 @@ def _(spark, sf):
 
 
 def drained(spark, sf) -> DataFrame:
-    return terrain_flow.flow_accumulation(terrain_flow.d8_pointers(S.cells(spark, sf), "z"))
+    """Drainage of the filled surface: what flows into a pit leaves it again."""
+    return terrain_flow.flow_accumulation(terrain_flow.d8_pointers(terrain_flow.fill_depressions(S.cells(spark, sf))))
 
 
-@query("flow_accumulation_d8")
-def _(spark, sf):
+def _accumulation(spark, sf):
     return drained(spark, sf).select("r", "c", "accumulation")
 
 
-@query("twi")
-def _(spark, sf):
+def _twi(spark, sf):
     both = raster.slope(S.cells(spark, sf)).join(drained(spark, sf).drop("z"), ["r", "c"])
     return raster.twi(both).select("r", "c", "twi")
 
 
-@query("thalweg_mask")
-def _(spark, sf):
-    return raster.thalweg_mask(drained(spark, sf), 5).select("r", "c", "thalweg")
-
-
-def drained_filled(spark, sf) -> DataFrame:
-    """Drainage of the filled surface: what flows into a pit leaves it again."""
-    filled = terrain_flow.fill_depressions(S.cells(spark, sf))
-    return terrain_flow.flow_accumulation(terrain_flow.d8_pointers(filled))
+def _thalweg(spark, sf):
+    return raster.thalweg_mask(drained(spark, sf)).select("r", "c", "thalweg")
 
 
-@query("flow_accumulation_d8_filled")
-def _(spark, sf):
-    return drained_filled(spark, sf).select("r", "c", "accumulation")
-
-
-@query("twi_filled")
-def _(spark, sf):
-    both = raster.slope(S.cells(spark, sf)).join(drained_filled(spark, sf).drop("z"), ["r", "c"])
-    return raster.twi(both).select("r", "c", "twi")
-
-
-@query("thalweg_mask_filled")
-def _(spark, sf):
-    return raster.thalweg_mask(drained_filled(spark, sf)).select("r", "c", "thalweg")
+for _name, _fn in {"flow_accumulation_d8": _accumulation, "twi": _twi, "thalweg_mask": _thalweg}.items():
+    query(_name)(_fn)
+    query(f"{_name}_filled")(_fn)  # the name under which the filled surface was drained first
 
 
 @query("sky_view_factor")
