@@ -116,10 +116,23 @@ def test_fill_and_drainage(cells, grid, tile):
         while k is not None:
             count[k] += 1
             k = down[k]
-    got = {(r.r << 31) + r.c: r.accumulation for r in T.flow_accumulation(pointers).where("z is not null").collect()}
+    got = {(r.r << 31) + r.c: r.accumulation for r in T.flow_accumulation(pointers, tile).where("z is not null").collect()}
     assert got == count
 
 
+def test_drainage_over_many_tiles_and_down_one_long_channel(spark):
+    """A snake through all cells: every tile border is crossed many times."""
+    side = 12
+    path = [(r, c if r % 2 == 0 else side - 1 - c) for r in range(side) for c in range(side)]
+    rows = [(r, c, float(-i), (r << 31) + c, (path[i + 1][0] << 31) + path[i + 1][1] if i + 1 < len(path) else None) for i, (r, c) in enumerate(path)]
+    rows.append((side + 3, 0, None, (side + 3) << 31, None))
+    df = spark.createDataFrame(rows, "r long, c long, z double, key long, to long")
+    for tile in (1, 3, 5, 100):
+        got = {(r.r, r.c): r.accumulation for r in T.flow_accumulation(df, tile).collect()}
+        assert got == {rc: i + 1 for i, rc in enumerate(path)} | {(side + 3, 0): None}
+    assert T.flow_accumulation(df.where("false")).collect() == []
+
+
 def test_sky_view_is_one_on_a_plain_and_less_in_a_pit(spark):
     rows = [(r, c, 0.0 if (r, c) == (6, 6) else 5.0) for r in range(13) for c in range(13)]
     df = spark.createDataFrame(rows, "r long, c long, z double")
