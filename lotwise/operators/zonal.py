@@ -18,32 +18,44 @@ def with_centres(cells: DataFrame, x0: float, y0: float, size: float = K.CELL_SI
     return cells.withColumns({"x": F.lit(x0) + (F.col("c") + 0.5) * size, "y": F.lit(y0) - (F.col("r") + 0.5) * size})
 
 
-def _bucket(v: Column, width: float) -> Column:
+BUCKET_M = 16.0     # width of the finest buckets
+SPAN = 8.0          # buckets that a zone is wide at most
+MOST_ZONES = 2_000  # zones of one bucket in one part
+
+
+def _bucket(v: Column, width: Column | float) -> Column:
     return F.floor(v / width).cast("long")
 
 
-def _near_cells(cells: DataFrame, zones: DataFrame, key: str, reach: float, width: float | None) -> DataFrame:
+def _near_cells(cells: DataFrame, zones: DataFrame, key: str, reach: float, width: float | None, most: int = MOST_ZONES) -> DataFrame:
     """Cells within the box of each zone, widened by ``reach``: equi-join on buckets, then the box.
 
-    A cell lies in one bucket; only the zones, far fewer, are spread over the buckets they touch. Buckets
-    are about as wide as the mean zone, unless ``width`` is given.
+    Zones are on levels by their size: a level has buckets four times as wide as the one before, and a zone is on the first
+    level where it is at most ``SPAN`` buckets wide, so it is spread over some eighty buckets at most, however large it is. A cell
+    lies in one bucket of each level that has zones. Buckets with more than ``most`` zones are divided: their zones are dealt over
+    parts and their cells go to each part, so a pile of zones is no single task.
     """
-    if width is None:
-        side = F.avg(F.greatest(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin")))
-        width = max((zones.agg(side).first()[0] or 0.0) + 2 * reach, 4.0)
-    span = lambda lo, hi: F.sequence(_bucket(F.col(lo) - reach, width), _bucket(F.col(hi) + reach, width))
+    base = width or BUCKET_M
     shape = ["xmin", "ymin", "xmax", "ymax", *(["ring"] if "ring" in zones.columns else [])]
-    spread = (
-        zones.select(key, *shape)
-        .withColumn("_bx", F.explode(span("xmin", "xmax")))
-        .withColumn("_by", F.explode(span("ymin", "ymax")))
-    )
-    placed = cells.withColumn("_bx", _bucket(F.col("x"), width)).withColumn("_by", _bucket(F.col("y"), width))
+    widest = F.greatest(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin")) + 2 * reach
+    level = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(widest, F.lit(1e-9)) / (SPAN * base)) / 2)).cast("int")
+    leveled = zones.select(key, *shape).withColumn("_lvl", level)
+    levels = sorted(r["_lvl"] for r in leveled.where("_lvl is not null").select("_lvl").distinct().collect())  # logarithms of widths
+    side = F.pow(F.lit(4.0), F.col("_lvl")) * base
+    span = lambda lo, hi: F.sequence(_bucket(F.col(lo) - reach, side), _bucket(F.col(hi) + reach, side))
+    spread = leveled.withColumn("_bx", F.explode(span("xmin", "xmax"))).withColumn("_by", F.explode(span("ymin", "ymax")))
+    at = ["_lvl", "_bx", "_by"]
+    piles = spread.groupBy(*at).agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("_parts")).where("_parts > 1")  # one row per ``most`` zones
+    parts = F.coalesce("_parts", F.lit(1))
+    spread = spread.join(piles, at, "left").withColumn("_part", F.pmod(F.xxhash64(key), parts).cast("int")).drop("_parts")
+    placed = cells.withColumn("_lvl", F.explode(F.array(*map(F.lit, levels)).cast("array<int>")))
+    placed = placed.withColumns({"_bx": _bucket(F.col("x"), side), "_by": _bucket(F.col("y"), side)})
+    placed = placed.join(piles, at, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
     x, y = F.col("x"), F.col("y")
     inside = (
         (x >= F.col("xmin") - reach) & (x <= F.col("xmax") + reach) & (y >= F.col("ymin") - reach) & (y <= F.col("ymax") + reach)
     )
-    return placed.join(spread, ["_bx", "_by"]).where(inside).drop("_bx", "_by")
+    return placed.join(spread, [*at, "_part"]).where(inside).drop(*at, "_part")
 
 
 def cells_in_polygons(cells: DataFrame, zones: DataFrame, key: str = "parcel_id", width: float | None = None) -> DataFrame:

@@ -112,3 +112,22 @@ def test_lambert93_known_point(spark):
     df = spark.createDataFrame([("5.9170", 45.5646)], "lon string, latitude double")
     row = readers.scan_points(df).first()
     assert row.x == pytest.approx(927489.67, abs=0.01) and row.y == pytest.approx(6500324.66, abs=0.01)
+
+
+def test_cells_of_one_huge_zone_many_small_ones_and_a_pile(spark, monkeypatch):
+    from lotwise.operators import zonal
+
+    zones = [(0, -50.0, -50.0, 350.0, 350.0), (1, 0.0, 0.0, 0.0, 0.0)]
+    zones += [(10 + i, 3.0 * i, 2.0 * i, 3.0 * i + 1, 2.0 * i + 1) for i in range(40)]
+    zones += [(100 + i, 20.0 + i % 3, 20.0, 31.0, 30.0) for i in range(30)] + [(999, None, None, None, None)]
+    cells = [(r, c, 2.0 * c, 2.0 * r) for r in range(50) for c in range(60)]
+    zdf = spark.createDataFrame(zones, "parcel_id int, xmin double, ymin double, xmax double, ymax double")
+    cdf = spark.createDataFrame(cells, "r int, c int, x double, y double")
+    inside = lambda z, x, y, d: z[1] is not None and math.hypot(max(z[1] - x, 0, x - z[3]), max(z[2] - y, 0, y - z[4])) <= d
+    for d in (0.0, 7.0):
+        want = sorted((z[0], r, c) for z in zones for r, c, x, y in cells if inside(z, x, y, d))
+        for most, width in ((2_000, None), (4, None), (4, 1.0)):
+            monkeypatch.setattr(zonal._near_cells, "__defaults__", (most,))
+            got = zonal.cells_within(cdf, zdf, d, width=width) if d else zonal.cells_in_polygons(cdf, zdf, width=width)
+            assert sorted((x.parcel_id, x.r, x.c) for x in got.collect()) == want
+    assert zonal.cells_in_polygons(cdf, zdf.where("false")).collect() == []
