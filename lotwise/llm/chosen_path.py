@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
-from lotwise.llm.common import GOLDEN, Sieve, WordHashes, col, mix, pieces, rolled, starts_of
+from lotwise.llm.common import GOLDEN, Sieve, WordHashes, col, free_names, mix, pieces, rolled, starts_of
 from lotwise.session import cut_lineage, materialise
 
 TREES = 16
@@ -317,8 +317,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one document of each group of near-duplicates, that of the least id, and one of rows with equal id and text."""
     names = docs.columns
-    kept = near_duplicates(docs, id_col, text_col, size, percent).where("kept").groupBy(F.col(id_col).alias("id_"), F.col("v").alias("v_")).agg(F.count(F.lit(1)).alias("rows_"))
-    stay = docs.join(kept, col(id_col).eqNullSafe(F.col("id_")) & (F.xxhash64(col(text_col)) == F.col("v_")))
-    one = F.row_number().over(Window.partitionBy("id_", "v_").orderBy(F.xxhash64(*map(col, names))))
-    many = stay.where("rows_ > 1").withColumn("row_", one).where("row_ = 1").drop("row_")
-    return stay.where("rows_ = 1").unionByName(many).select(*map(col, names))
+    id_, v_, rows_, row_ = free_names(docs, "id_", "v_", "rows_", "row_")
+    kept = near_duplicates(docs, id_col, text_col, size, percent).where("kept").groupBy(F.col(id_col).alias(id_), F.col("v").alias(v_)).agg(F.count(F.lit(1)).alias(rows_))
+    stay = docs.join(kept, col(id_col).eqNullSafe(F.col(id_)) & (F.xxhash64(col(text_col)) == F.col(v_)))
+    one = F.row_number().over(Window.partitionBy(id_, v_).orderBy(F.xxhash64(*map(col, names))))
+    many = stay.where(F.col(rows_) > 1).withColumn(row_, one).where(F.col(row_) == 1).drop(row_)
+    return stay.where(F.col(rows_) == 1).unionByName(many).select(*map(col, names))

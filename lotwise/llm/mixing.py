@@ -7,6 +7,8 @@ probability per domain, in the order of ``Classes.domains``). ``fit`` seeks rate
     sum over documents of rate x tokens x posterior = target x all tokens,   for every domain,
 
 by accelerated projected gradient from r = 1, in the metric of document lengths, so that a rate depends on the posterior only.
+The squares of the domains are weighed by the inverse of their common spread (the sums of tokens x posterior x posterior): where no
+rate meets zero one step is the whole way, and domains that overlap do not slow it down.
 A step needs one aggregation to as many numbers as there are domains; a document's rate is an expression of the steps taken,
 so nothing per document is kept on the driver or between steps. ``with_rates`` adds ``rate`` and ``copies``: the whole part
 of the rate, and one more where the fraction exceeds a hash of the text and id, so the same rows come at every run.
@@ -24,7 +26,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lotwise.llm.common import col
+from lotwise.llm.common import col, free_names
 from lotwise.llm.quality_rules import words_of
 
 BUCKETS = 1 << 16
@@ -68,19 +70,21 @@ def classifier(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", dom
 
 def memberships(docs: DataFrame, classes: Classes, text_col: str = "text") -> DataFrame:
     d = len(classes.domains)
-    own = docs.drop(*ADDED, "words_", "table_", "sums_").withColumn("words_", lowered(text_col)).withColumn("table_", classes.table.scalar())
+    plain = docs.drop(*ADDED)
+    words_, table_, sums_, logits_, odds_ = free_names(plain, "words_", "table_", "sums_", "logits_", "odds_")
+    own = plain.withColumn(words_, lowered(text_col)).withColumn(table_, classes.table.scalar())
     zero = F.array_repeat(F.lit(0.0), d + 1)
-    sums = F.aggregate("words_", zero, lambda s, w: F.zip_with(s, F.get("table_", bucket(w)), lambda x, y: x + y))
-    summed = own.withColumn("sums_", sums).drop("words_", "table_")
-    logits = F.array(*(F.get("sums_", F.lit(i)) + float(np.log(p)) for i, p in enumerate(classes.prior))) if d else F.array().cast("array<double>")
-    scored = summed.withColumn("logits_", logits).withColumn("odds_", F.transform("logits_", lambda x: F.exp(x - F.array_max("logits_"))))
-    total = F.aggregate("odds_", F.lit(0.0), lambda s, x: s + x)
-    return scored.withColumns({"n_tokens": F.get("sums_", F.lit(d)).cast("long"), "posterior": F.transform("odds_", lambda x: x / total)}).drop("sums_", "logits_", "odds_")
+    sums = F.aggregate(words_, zero, lambda s, w: F.zip_with(s, F.get(table_, bucket(w)), lambda x, y: x + y))
+    summed = own.withColumn(sums_, sums).drop(words_, table_)
+    logits = F.array(*(F.get(sums_, F.lit(i)) + float(np.log(p)) for i, p in enumerate(classes.prior))) if d else F.array().cast("array<double>")
+    scored = summed.withColumn(logits_, logits).withColumn(odds_, F.transform(logits_, lambda x: F.exp(x - F.array_max(logits_))))
+    total = F.aggregate(odds_, F.lit(0.0), lambda s, x: s + x)
+    return scored.withColumns({"n_tokens": F.get(sums_, F.lit(d)).cast("long"), "posterior": F.transform(odds_, lambda x: x / total)}).drop(sums_, logits_, odds_)
 
 
 @dataclass
 class Rates:
-    steps: list[tuple[list[float], float]]  # residuals of the domains in units of the step, and the momentum that follows
+    steps: list[tuple[list[float], float]]  # weighed residuals of the domains, and the momentum that follows
     residual: float                         # what is left, as a share of all tokens
     totals: list[float]                     # tokens expected from each domain
 
@@ -98,8 +102,12 @@ class Rates:
         return F.aggregate(history, F.struct(F.lit(1.0).alias("r"), F.lit(1.0).alias("y")), step, lambda s: s["y"] if extrapolated else s["r"])
 
 
-def fit(members: DataFrame, classes: Classes, targets: dict[str, float], tolerance: float = 1e-4, most_steps: int = 80) -> Rates:
-    """Rates for ``members`` (``n_tokens``, ``posterior``), which are read once per step; give a written table."""
+def fit(members: DataFrame, classes: Classes, targets: dict[str, float], tolerance: float = 1e-4, patience: int = 20) -> Rates:
+    """Rates for ``members`` (``n_tokens``, ``posterior``), which are read once per step; give a written table.
+
+    Steps go on until all totals are within ``tolerance``, or until ``patience`` steps have not brought them nearer by a hundredth,
+    as with targets that no rates can meet; what is left is ``residual`` then.
+    """
     d, n = len(classes.domains), F.col("n_tokens").cast("double")
     p = [F.get("posterior", F.lit(i)) for i in range(d)]
     weights = np.array([max(0.0, float(targets.get(x, 0.0))) for x in classes.domains])
@@ -109,19 +117,21 @@ def fit(members: DataFrame, classes: Classes, targets: dict[str, float], toleran
         return Rates([], 0.0, [0.0] * d)
     goal = weights / weights.sum() * all_tokens
     curve = np.array([[first[f"m{i}_{j}"] for j in range(d)] for i in range(d)])
-    size = 1 / np.linalg.eigvalsh(curve)[-1]
+    inverse = np.linalg.pinv(curve, hermitian=True)
 
     def totals(rate: Column) -> np.ndarray:
         row = members.agg(*(F.sum(n * p[i] * rate).alias(f"t{i}") for i in range(d))).first()
         return np.array([row[f"t{i}"] for i in range(d)])
 
-    out, pace = Rates([], 1.0, [0.0] * d), 1.0
-    for _ in range(most_steps):
+    out, pace, best, since = Rates([], 1.0, [0.0] * d), 1.0, np.inf, 0
+    while True:
         got = totals(out.column(extrapolated=True))
-        if np.abs(got - goal).max() <= tolerance * all_tokens:
+        left = np.abs(got - goal).max()
+        best, since = (left, 0) if left < 0.99 * best else (best, since + 1)
+        if left <= tolerance * all_tokens or since >= patience:
             break
         after = (1 + np.sqrt(1 + 4 * pace * pace)) / 2
-        out.steps.append((((got - goal) * size).tolist(), float((pace - 1) / after)))
+        out.steps.append(((inverse @ (got - goal)).tolist(), float((pace - 1) / after)))
         pace = after
     if out.steps:
         out.steps[-1] = (out.steps[-1][0], 0.0)

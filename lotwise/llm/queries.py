@@ -38,9 +38,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "source", "text")
     classes = mixing.classifier(docs, domains(spark, sf_dir))
     members = materialise(mixing.memberships(docs, classes).drop("text"), "members")
-    rated = mixing.with_rates(members, mixing.fit(members, classes, TARGETS))
+    rates = mixing.fit(members, classes, TARGETS)
+    rated = mixing.with_rates(members, rates)
     shares = [F.get("posterior", F.lit(i)).alias(f"p_{d}") for i, d in enumerate(classes.domains)]
-    return rated.select("doc_id", "source", "n_tokens", *shares, "rate", "copies")
+    return rated.select("doc_id", "source", "n_tokens", *shares, "rate", "copies", F.lit(rates.residual).alias("residual"))
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -58,10 +58,16 @@ def test_every_stage_equals_brute_force(spark, sf):
 
 
 def test_odd_rows_go_through_every_stage(spark, sf):
-    good = " ".join(f"word{i} of the text" for i in range(60))
+    good = " ".join(f"word{i} of{i} the{i} text{i}" for i in range(60))
     rows = [(1, good, "en", "s", 9, "x"), (1, good, "en", "s", 9, "x"), (2, None, None, None, None, None), (3, "", None, None, 0, None), (None, good[::-1] + " end", None, None, None, None)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, spans string")
-    out = P.tokenize(spark, P.mix(spark, P.secrets(spark, P.near_dedup(spark, P.quality(spark, docs, sf), sf), sf), sf), sf).collect()
+    clash = "spans kept rate copies llr tokens_ ratios_ keys_ words_ table_ logits_ id_ v_ rows_ row_ copy_".split()
+    rows = [(*r[:5], *[r[5]] * len(clash)) for r in rows]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in clash))
+    left = docs
+    for _, stage in P.STAGES[:-1]:
+        left = materialise(stage(spark, left, sf), "odd")
+        assert left.columns == docs.columns and {r[c] for r in left.where("doc_id = 1").collect() for c in clash} == {"x"}
+    out = P.tokenize(spark, left, sf).collect()
     assert {r.doc_id for r in out} == {1, None}
     for _, stage in P.STAGES:
         assert stage(spark, docs.where("false"), sf).count() == 0
