@@ -131,3 +131,24 @@ def test_cells_of_one_huge_zone_many_small_ones_and_a_pile(spark, monkeypatch):
             got = zonal.cells_within(cdf, zdf, d, width=width) if d else zonal.cells_in_polygons(cdf, zdf, width=width)
             assert sorted((x.parcel_id, x.r, x.c) for x in got.collect()) == want
     assert zonal.cells_in_polygons(cdf, zdf.where("false")).collect() == []
+
+
+def test_copies_of_a_parcel_or_a_layer_are_compared_once(spark, monkeypatch):
+    p = spark.range(300).selectExpr("id as parcel_id", "cast(id%3*10 as double) xmin", "0.0D ymin", "id%3*10+5.0D xmax", "5.0D ymax")
+    z = spark.range(40).selectExpr("id as zone_id", "cast(id%2*10 as double) xmin", "0.0D ymin", "id%2*10+2.0D xmax", "2.0D ymax", "case when id<2 then 'A' else 'U' end typezone")
+    seen, real = [], J.box_join
+
+    def counted(left, right, *args, **kw):
+        seen.append((left.count(), right.count()))
+        return real(left, right, *args, **kw)
+
+    monkeypatch.setattr(J, "box_join", counted)
+    assert {(r.parcel_id % 3, r.zone_plu) for r in J.assign_zone(p, z, "typezone", 10.0).collect()} == {(0, "U"), (1, "U"), (2, "inconnu")}
+    got = J.spatial_left_join(p, z, 10.0)
+    assert got.columns == ["parcel_id", "zone_id", "typezone"] and got.count() == 200 * 20 + 100
+    assert got.where("zone_id is null").count() == 100 and got.where("zone_id%2 <> parcel_id%3").count() == 0
+    layers = p.selectExpr("xmin x", "ymin y", "case when parcel_id%2=0 then 'a' else 'b' end layer").where("x < 20 and (layer='a' or x=0)")
+    flags = {(r.parcel_id % 3, r.brgm_a_flag, r.brgm_b_flag) for r in J.hazard_flags(p, layers, ["a", "b"], 10.0).collect()}
+    assert flags == {(0, True, True), (1, True, False), (2, False, False)}
+    assert {(r.parcel_id % 3, r.built_area) for r in J.built_area(p, z, 10.0).collect()} == {(0, 80.0), (1, 80.0), (2, 0.0)}
+    assert seen == [(3, 2), (3, 2), (3, 2), (3, 2)]
