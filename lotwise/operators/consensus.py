@@ -16,7 +16,7 @@ def external_score(df: DataFrame, scores: DataFrame, id_col: str, score: str, pa
     """Score of another approach by normalised id. One score per id: the greatest of repeated ids."""
     mapped = scores.groupBy(padded_id(F.col(id_col)).alias("_id")).agg(F.max(score).alias(score))
     ids = df.select(key, padded_id(F.col(parcel_ref)).alias("_id"))
-    return ids.join(mapped, "_id", "left").select(key, score)
+    return ids.join(mapped.hint("merge"), "_id", "left").select(key, score)  # shuffled: far more than its file's size tells
 
 
 def pct_ranks(df: DataFrame, scores: Sequence[str], key: str = "parcel_id") -> DataFrame:

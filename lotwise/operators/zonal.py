@@ -55,7 +55,8 @@ def _near_cells(cells: DataFrame, zones: DataFrame, key: str, reach: float, widt
     inside = (
         (x >= F.col("xmin") - reach) & (x <= F.col("xmax") + reach) & (y >= F.col("ymin") - reach) & (y <= F.col("ymax") + reach)
     )
-    return placed.join(spread, [*at, "_part"]).where(inside).drop(*at, "_part")
+    # shuffled: zones are small by the size of their file, but not spread over buckets
+    return placed.join(spread.hint("merge"), [*at, "_part"]).where(inside).drop(*at, "_part")
 
 
 def cells_in_polygons(cells: DataFrame, zones: DataFrame, key: str = "parcel_id", width: float | None = None) -> DataFrame:
@@ -84,7 +85,7 @@ def zonal_stats(zones: DataFrame, members: DataFrame, value: str, prefix: str, s
     """Mean, max, min, population std and count per zone; a zone without a known cell gets NULLs."""
     agg = {"mean": F.avg, "max": F.max, "min": F.min, "std": F.stddev_pop, "count": F.count}
     got = members.groupBy(key).agg(*[agg[s](value).alias(f"{prefix}_{s}") for s in stats])
-    return zones.select(key).join(got, key, "left")
+    return zones.select(key).join(got.hint("merge"), key, "left")
 
 
 def zonal_percentiles(
@@ -98,12 +99,12 @@ def zonal_percentiles(
         members, [key], [(F.col(value), {f"{prefix}_p{p}": p / 100.0 for p in percents})],
         [F.stddev_pop(value).alias(f"{prefix}_std")], known_max=bound,
     )
-    return zones.select(key).join(got, key, "left")
+    return zones.select(key).join(got.hint("merge"), key, "left")
 
 
 def flat_area(zones: DataFrame, members: DataFrame, key: str = "parcel_id", area: str = "area_m2") -> DataFrame:
     """Share of flat cells, and the area it amounts to (the total, not the largest patch)."""
     got = members.groupBy(key).agg(F.avg("flat").alias("flat_area_ratio"))
-    return zones.select(key, area).join(got, key, "left").select(
+    return zones.select(key, area).join(got.hint("merge"), key, "left").select(
         key, "flat_area_ratio", (F.col(area) * F.col("flat_area_ratio")).alias("max_flat_area_m2")
     )
