@@ -15,6 +15,7 @@ from lotwise.operators.cleaning import median_impute
 from lotwise.operators.order_stats import grouped_quantiles
 from lotwise.session import materialise, side_by_side
 
+NOISE = 1e-12  # relative; means of equal values differ by less, as their sums depend on the order of the rows
 PROFILE_COLUMNS = [*K.CLUSTER_LOWER_IS_BETTER, *K.CLUSTER_HIGHER_IS_BETTER]
 
 
@@ -59,6 +60,7 @@ def cluster_profile(df: DataFrame, cluster: str = "cluster_id", label: str = "pr
 def constructibility(profile: DataFrame) -> DataFrame:
     """Mean of min-max scaled medians, inverted where lower is better; a flat column counts one half.
 
+    A column whose medians differ by rounding only is flat; scaling would blow that up to 0 and 1.
     ``profile`` has one row per cluster. Without any usable column the label rate decides, else one half.
     """
     ends = profile.agg(*[f(c).alias(n + c) for c in profile.columns for n, f in (("a_", F.min), ("b_", F.max))]).first()
@@ -68,7 +70,7 @@ def constructibility(profile: DataFrame) -> DataFrame:
             if c not in profile.columns or ends["a_" + c] is None:
                 continue
             a, b = ends["a_" + c], ends["b_" + c]
-            n = F.coalesce((F.col(c) - a) / (b - a), F.lit(0.5)) if b > a else F.lit(0.5)
+            n = F.coalesce((F.col(c) - a) / (b - a), F.lit(0.5)) if b - a > NOISE * max(abs(a), abs(b)) else F.lit(0.5)
             parts.append(F.lit(1.0) - n if lower else n)
     if parts:
         score = add_all(parts) / float(len(parts))

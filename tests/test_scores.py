@@ -205,3 +205,11 @@ def test_histogram_puts_values_on_an_edge_to_the_right(spark):
     df = spark.createDataFrame([(v,) for v in values], "x double")
     assert {r.bin: r.n for r in histogram(df, "x").collect()} == want
     assert [(r.bin, r.n) for r in histogram(df.where("x = 3"), "x").collect()] == [(1, 1)] and histogram(df.where("x is null"), "x").collect() == []
+
+
+def test_medians_that_differ_by_rounding_only_count_as_flat(spark):
+    from lotwise.operators import clustering
+
+    rows = [(0, 0.4, 1.0), (1, 0.39999999999999997, 3.0), (2, 0.4000000000000001, 2.0)]
+    got = clustering.constructibility(spark.createDataFrame(rows, "cluster_id int, svf_mean double, twi_mean double"))
+    assert {r.cluster_id: r.constructibility_score for r in got.collect()} == {0: 0.75, 1: 0.25, 2: 0.5}
