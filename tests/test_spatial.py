@@ -152,3 +152,13 @@ def test_copies_of_a_parcel_or_a_layer_are_compared_once(spark, monkeypatch):
     assert flags == {(0, True, True), (1, True, False), (2, False, False)}
     assert {(r.parcel_id % 3, r.built_area) for r in J.built_area(p, z, 10.0).collect()} == {(0, 80.0), (1, 80.0), (2, 0.0)}
     assert seen == [(3, 2), (3, 2), (3, 2), (3, 2)]
+
+
+def test_parcels_with_equal_rings_are_measured_once(spark, sf, monkeypatch):
+    from lotwise.plans import study_area as S
+
+    measured, real = [], S.shape_of
+    monkeypatch.setattr(S, "parcels", lambda *_: spark.range(40).selectExpr("id as parcel_id", "0.0D xmin", "0.0D ymin", "id%4+1.0D xmax", "2.0D ymax"))
+    monkeypatch.setattr(S, "shape_of", lambda rings: measured.append(rings.count()) or real(rings))
+    got = {(r.parcel_id % 4, r.area_m2) for r in S.parcel_shape(spark, sf).collect()}
+    assert got == {(i, 2.0 * (i + 1)) for i in range(4)} and measured == [4]
