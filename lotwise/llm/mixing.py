@@ -15,14 +15,17 @@ of the rate, and one more where the fraction exceeds a hash of the text and id,
 
 Domains without labelled rows are left out, the other targets grow in proportion; targets that cannot be met are approached
 (``Rates.residual``). Without labelled rows, documents or tokens all rates are 1. Null and empty texts have no tokens and the prior
-as posterior. Repeated rows count each; other columns stay, those named as the added ones are replaced. All column expressions.
+as posterior. Repeated rows count each; other columns stay, those named as the added ones are replaced. Column expressions, but for
+the sums of a step, which walk over the steps by numpy batches.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -101,6 +104,27 @@ class Rates:
 
         return F.aggregate(history, F.struct(F.lit(1.0).alias("r"), F.lit(1.0).alias("y")), step, lambda s: s["y"] if extrapolated else s["r"])
 
+    def sums(self, members: DataFrame, extrapolated: bool = False) -> np.ndarray:
+        """Tokens from each domain at these rates; ``column`` over whole batches, as a walk over the steps for every row costs far more."""
+        steps, d = self.steps, len(self.totals)
+
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                p = [batch.column(1 + i).to_numpy(zero_copy_only=False) for i in range(d)]
+                r = y = np.ones(batch.num_rows)
+                for g, momentum in steps:
+                    rate = np.maximum(0.0, y - sum(q * x for q, x in zip(p, g, strict=True)))
+                    r, y = rate, rate + momentum * (rate - r)
+                tokens = batch.column(0).to_numpy(zero_copy_only=False) * (y if extrapolated else r)
+                yield pa.RecordBatch.from_arrays([pa.array([float((tokens * q).sum())]) for q in p], [f"t{i}" for i in range(d)])
+
+        share = lambda i: F.coalesce(F.get("posterior", F.lit(i)), F.lit(0.0)).alias(f"p{i}")
+        known = members.select(F.coalesce(F.col("n_tokens").cast("double"), F.lit(0.0)).alias("n"), *map(share, range(d)))
+        row = known.mapInArrow(run, ", ".join(f"t{i} double" for i in range(d))).agg(*(F.sum(f"t{i}").alias(f"t{i}") for i in range(d))).first()
+        return np.array([row[f"t{i}"] for i in range(d)])
+
 
 def fit(members: DataFrame, classes: Classes, targets: dict[str, float], tolerance: float = 1e-4, patience: int = 20) -> Rates:
     """Rates for ``members`` (``n_tokens``, ``posterior``), which are read once per step; give a written table.
@@ -119,13 +143,9 @@ def fit(members: DataFrame, classes: Classes, targets: dict[str, float], toleran
     curve = np.array([[first[f"m{i}_{j}"] for j in range(d)] for i in range(d)])
     inverse = np.linalg.pinv(curve, hermitian=True)
 
-    def totals(rate: Column) -> np.ndarray:
-        row = members.agg(*(F.sum(n * p[i] * rate).alias(f"t{i}") for i in range(d))).first()
-        return np.array([row[f"t{i}"] for i in range(d)])
-
     out, pace, best, since = Rates([], 1.0, [0.0] * d), 1.0, np.inf, 0
     while True:
-        got = totals(out.column(extrapolated=True))
+        got = out.sums(members, extrapolated=True)
         left = np.abs(got - goal).max()
         best, since = (left, 0) if left < 0.99 * best else (best, since + 1)
         if left <= tolerance * all_tokens or since >= patience:
@@ -135,7 +155,7 @@ def fit(members: DataFrame, classes: Classes, targets: dict[str, float], toleran
         pace = after
     if out.steps:
         out.steps[-1] = (out.steps[-1][0], 0.0)
-    got = totals(out.column())
+    got = out.sums(members)
     return Rates(out.steps, float(np.abs(got - goal).max() / all_tokens), got.tolist())
 
 

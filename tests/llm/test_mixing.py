@@ -66,3 +66,13 @@ def test_nothing_to_learn_from(spark):
     assert {r.copies for r in M.with_rates(members, M.fit(members, classes, {"a": 1.0})).collect()} == {1}
     empty = M.memberships(docs.where("false"), classes)
     assert M.with_rates(empty, M.fit(empty, classes, {})).collect() == []
+
+
+def test_sums_of_a_step_are_those_of_the_rates(spark):
+    from pyspark.sql import functions as F
+
+    r = M.Rates([([0.01 * (i % 3), -0.002 * i], 0.5) for i in range(20)], 0.0, [0.0, 0.0])
+    rows = spark.range(0, 40, 1, 4).selectExpr("id%9 n_tokens", "array(id%10/10.0D, 1-id%10/10.0D) posterior")
+    for ends in (False, True):
+        want = rows.agg(*(F.sum(F.col("n_tokens") * F.get("posterior", F.lit(i)) * r.column(ends)) for i in range(2))).first()
+        assert np.allclose(r.sums(rows, ends), list(want))
