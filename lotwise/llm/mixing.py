@@ -6,26 +6,25 @@ probability per domain, in the order of ``Classes.domains``). ``fit`` seeks rate
 
     sum over documents of rate x tokens x posterior = target x all tokens,   for every domain,
 
-by accelerated projected gradient from r = 1, in the metric of document lengths, so that a rate depends on the posterior only.
-The squares of the domains are weighed by the inverse of their common spread (the sums of tokens x posterior x posterior): where no
-rate meets zero one step is the whole way, and domains that overlap do not slow it down.
-A step needs one aggregation to as many numbers as there are domains; a document's rate is an expression of the steps taken,
-so nothing per document is kept on the driver or between steps. ``with_rates`` adds ``rate`` and ``copies``: the whole part
-of the rate, and one more where the fraction exceeds a hash of the text and id, so the same rows come at every run.
+by projected gradient from r = 1, in the metric of document lengths, so that a rate depends on the posterior only. Gradients are added
+up and their sum is projected: the rate of a document is max(0, 1 - posterior . sum), so nothing per document is kept on the driver or
+between steps, and however many steps there were a rate costs the same. A gradient is weighed by the inverse of the common spread (the
+sums of tokens x posterior x posterior) of the documents whose rate is above zero: where none falls to zero or leaves it, one step is
+the whole way. A step is halved until it brings down what the projected gradient descends on (the squares of the rates, less their
+goals), which is convex, so the steps lead to the rates next to 1 that meet the targets. A step needs one aggregation to as many
+numbers as there are pairs of domains. ``with_rates`` adds ``rate`` and ``copies``: the whole part of the rate, and one more where the
+fraction exceeds a hash of the text and id, so the same rows come at every run.
 
 Domains without labelled rows are left out, the other targets grow in proportion; targets that cannot be met are approached
 (``Rates.residual``). Without labelled rows, documents or tokens all rates are 1. Null and empty texts have no tokens and the prior
-as posterior. Repeated rows count each; other columns stay, those named as the added ones are replaced. Column expressions, but for
-the sums of a step, which walk over the steps by numpy batches.
+as posterior. Repeated rows count each; other columns stay, those named as the added ones are replaced. Column expressions only.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +33,7 @@ from lotwise.llm.quality_rules import words_of
 
 BUCKETS = 1 << 16
 PUNCTUATION = ".,;:!?()\"'"
+RIDGE = 1e-9
 ADDED = ("n_tokens", "posterior", "rate", "copies")
 
 
@@ -105,25 +105,21 @@ class Rates:
         return F.aggregate(history, F.struct(F.lit(1.0).alias("r"), F.lit(1.0).alias("y")), step, lambda s: s["y"] if extrapolated else s["r"])
 
     def sums(self, members: DataFrame, extrapolated: bool = False) -> np.ndarray:
-        """Tokens from each domain at these rates; ``column`` over whole batches, as a walk over the steps for every row costs far more."""
-        steps, d = self.steps, len(self.totals)
-
-        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                p = [batch.column(1 + i).to_numpy(zero_copy_only=False) for i in range(d)]
-                r = y = np.ones(batch.num_rows)
-                for g, momentum in steps:
-                    rate = np.maximum(0.0, y - sum(q * x for q, x in zip(p, g, strict=True)))
-                    r, y = rate, rate + momentum * (rate - r)
-                tokens = batch.column(0).to_numpy(zero_copy_only=False) * (y if extrapolated else r)
-                yield pa.RecordBatch.from_arrays([pa.array([float((tokens * q).sum())]) for q in p], [f"t{i}" for i in range(d)])
-
-        share = lambda i: F.coalesce(F.get("posterior", F.lit(i)), F.lit(0.0)).alias(f"p{i}")
-        known = members.select(F.coalesce(F.col("n_tokens").cast("double"), F.lit(0.0)).alias("n"), *map(share, range(d)))
-        row = known.mapInArrow(run, ", ".join(f"t{i} double" for i in range(d))).agg(*(F.sum(f"t{i}").alias(f"t{i}") for i in range(d))).first()
-        return np.array([row[f"t{i}"] for i in range(d)])
+        """Tokens from each domain at these rates."""
+        return _at(members, len(self.totals), self.column(extrapolated))[0]
+
+
+def _at(members: DataFrame, d: int, rate: Column) -> tuple[np.ndarray, np.ndarray, float]:
+    """At these rates the tokens from each domain, their spread over documents with a rate above zero, and the squares of the rates."""
+    names = free_names(members, "n_", "r_", "q_", *(f"p{i}_" for i in range(d)))
+    n, r, q, p = *map(F.col, names[:3]), [F.col(x) for x in names[3:]]
+    known = members.select(F.coalesce(F.col("n_tokens").cast("double"), F.lit(0.0)).alias(names[0]), "posterior", *(F.coalesce(F.get("posterior", F.lit(i)), F.lit(0.0)).alias(x) for i, x in enumerate(names[3:])))
+    weighed = known.where(n > 0).withColumn(names[1], rate).withColumn(names[2], F.when(r > 0, n).otherwise(F.lit(0.0)))
+    spread = {f"m{i}_{j}": F.sum(q * p[i] * p[j]) for i in range(d) for j in range(i, d)}
+    sums = {f"t{i}": F.sum(n * r * p[i]) for i in range(d)} | spread | {"squares": F.sum(n * r * r)}
+    row = weighed.agg(*(F.coalesce(c, F.lit(0.0)).alias(name) for name, c in sums.items())).first()
+    curve = np.array([[row[f"m{min(i, j)}_{max(i, j)}"] for j in range(d)] for i in range(d)])
+    return np.array([row[f"t{i}"] for i in range(d)]), curve, row["squares"]
 
 
 def fit(members: DataFrame, classes: Classes, targets: dict[str, float], tolerance: float = 1e-4, patience: int = 20) -> Rates:
@@ -132,30 +128,39 @@ def fit(members: DataFrame, classes: Classes, targets: dict[str, float], toleran
     Steps go on until all totals are within ``tolerance``, or until ``patience`` steps have not brought them nearer by a hundredth,
     as with targets that no rates can meet; what is left is ``residual`` then.
     """
-    d, n = len(classes.domains), F.col("n_tokens").cast("double")
-    p = [F.get("posterior", F.lit(i)) for i in range(d)]
+    d = len(classes.domains)
     weights = np.array([max(0.0, float(targets.get(x, 0.0))) for x in classes.domains])
-    first = members.agg(F.sum(n).alias("n"), *(F.sum(n * p[i] * p[j]).alias(f"m{i}_{j}") for i in range(d) for j in range(d))).first()
-    all_tokens = float(first.n or 0)
+    all_tokens = float(members.agg(F.sum(F.col("n_tokens").cast("double"))).first()[0] or 0)
     if not d or not all_tokens or not weights.sum():
         return Rates([], 0.0, [0.0] * d)
     goal = weights / weights.sum() * all_tokens
-    curve = np.array([[first[f"m{i}_{j}"] for j in range(d)] for i in range(d)])
-    inverse = np.linalg.pinv(curve, hermitian=True)
 
-    out, pace, best, since = Rates([], 1.0, [0.0] * d), 1.0, np.inf, 0
+    def at(total: np.ndarray) -> tuple[Rates, np.ndarray, np.ndarray, float]:
+        out = Rates([(total.tolist(), 0.0)], 0.0, [0.0] * d)
+        got, curve, squares = _at(members, d, out.column())
+        return out, got, curve, float(squares / 2 + total @ goal)
+
+    total = np.zeros(d)
+    out, got, curve, height = at(total)
+    kept, best, since = (out, got), np.inf, 0
     while True:
-        got = out.sums(members, extrapolated=True)
         left = np.abs(got - goal).max()
-        best, since = (left, 0) if left < 0.99 * best else (best, since + 1)
+        since = 0 if left < 0.99 * best else since + 1
+        if left < best:
+            kept, best = (out, got), left
         if left <= tolerance * all_tokens or since >= patience:
             break
-        after = (1 + np.sqrt(1 + 4 * pace * pace)) / 2
-        out.steps.append(((inverse @ (got - goal)).tolist(), float((pace - 1) / after)))
-        pace = after
-    if out.steps:
-        out.steps[-1] = (out.steps[-1][0], 0.0)
-    got = out.sums(members)
+        # a little of all tokens, for domains that no document with a rate has
+        step = np.linalg.solve(curve + RIDGE * all_tokens * np.eye(d), got - goal)
+        share, fall = 1.0, float(step @ (got - goal))
+        while True:
+            tried = at(total + share * step)
+            if tried[3] <= height - 1e-4 * share * fall or share < 1e-6:
+                break
+            share /= 2
+        total = total + share * step
+        out, got, curve, height = tried
+    out, got = kept
     return Rates(out.steps, float(np.abs(got - goal).max() / all_tokens), got.tolist())
 
 

@@ -76,3 +76,15 @@ def test_sums_of_a_step_are_those_of_the_rates(spark):
     for ends in (False, True):
         want = rows.agg(*(F.sum(F.col("n_tokens") * F.get("posterior", F.lit(i)) * r.column(ends)) for i in range(2))).first()
         assert np.allclose(r.sums(rows, ends), list(want))
+
+
+def test_few_steps_meet_targets_that_few_documents_meet(spark):
+    """All tokens from one domain, which most documents share with the other; it took more than a thousand steps."""
+    rows = [(i, 50 + i % 70, [1 - 10.0 ** -(i % 40 / 4), 10.0 ** -(i % 40 / 4)]) for i in range(4000)]
+    members = spark.createDataFrame(rows, "doc_id long, n_tokens long, posterior array<double>")
+    fitted = M.fit(members, M.Classes(["a", "b"], [0.5, 0.5], None), {"a": 1.0, "b": 0.0})
+    assert fitted.residual <= 1e-4 and len(fitted.steps) <= 40
+    plan = M.with_rates(members, fitted)._jdf.queryExecution().toString()
+    assert "InArrow" not in plan and "Python" not in plan
+    n, p, rate = (np.array(x) for x in zip(*((r.n_tokens, r.posterior, r.rate) for r in M.with_rates(members, fitted).collect())))
+    assert (n * rate) @ p == pytest.approx([n.sum(), 0], abs=2e-4 * n.sum()) and (rate >= 0).all()
