@@ -2,7 +2,8 @@
 
 Rows are binned once by quantiles and packed in chunks of numpy columns: the bins of the features, label, fold, list, and for
 every model the score and the gradients. A list (the rows that a ranker compares) lies in one chunk; one of more than ``CHUNK``
-rows is dealt into lists of at most about that many by the hash of the key, so no chunk depends on the largest list.
+rows is dealt into lists of at most about that many by the hash of the key, so no chunk depends on the largest list. With many
+models a chunk has fewer rows (``CELLS``), but for a list that has more.
 
 All models (folds, combinations, draws) grow together. Per tree each chunk first adds the last tree to its scores and takes the
 gradients, which is kept for the levels of the tree; per level each task sums its chunks' gradients by node, feature and bin, the
@@ -17,6 +18,7 @@ A model does not learn from rows of its ``fold``; ``out_of_fold`` scores them af
 
 from __future__ import annotations
 
+import bisect
 import math
 import pickle
 import random
@@ -31,6 +33,7 @@ from pyspark.sql import functions as F
 from lotwise.session import drop_table, write_table
 
 CHUNK = 1 << 16
+CELLS = 1 << 19  # rows times models of a chunk, so that its scores, gradients and weights stay small
 BINS = 64
 KEEP = 20
 PENALTY = 1.0
@@ -238,7 +241,7 @@ def repacked(chunk: dict[str, np.ndarray]) -> pa.RecordBatch:
 
 
 def packed(rows: DataFrame, features: Sequence[str], edges: list[np.ndarray], n_models: int, weights: Sequence[Column], key: str, label: str, query: str | None, fold: str | None) -> DataFrame:
-    """The table in chunks, with scores of 0."""
+    """The table in chunks, without scores yet."""
     named = rows.select(
         F.col(key).cast("long").alias("key"), F.col(label).cast("double").alias("label"),
         (F.col(fold).cast("int") if fold else F.lit(-1)).alias("fold"),
@@ -251,7 +254,10 @@ def packed(rows: DataFrame, features: Sequence[str], edges: list[np.ndarray], n_
         named = named.join(sizes, "list", "left").withColumn("dealt", F.pmod(F.xxhash64("key"), shares).cast("int")).drop("size")
     else:
         named = named.withColumn("dealt", F.lit(0))
-    parts = max(1, -(-rows.count() // CHUNK))
+    n_rows = rows.count()
+    size = max(1, min(CHUNK, CELLS // max(1, n_models))) if n_rows > CHUNK else CHUNK  # rows that fill one chunk stay one
+    share = CHUNK // max(1, min(4, 32 // max(1, n_models)))  # rows of a task; with many models, its sums are large
+    parts = max(1, -(-n_rows // share)) if n_rows > CHUNK else 1
     placed = named.repartition(parts, "list", "dealt").sortWithinPartitions("list", "dealt", "key")
     n_features = len(features)
 
@@ -259,13 +265,13 @@ def packed(rows: DataFrame, features: Sequence[str], edges: list[np.ndarray], n_
         table = pa.Table.from_batches(batches)
         lists = table.column("list").combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
         place = lists * (CHUNK * 8) + table.column("dealt").to_numpy()
-        draws = np.array(table.column("draws").to_pylist(), float).reshape(table.num_rows, -1).T
+        draws = table.column("draws").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, -1).T
         n = table.num_rows
         return repacked({
             "keys": table.column("key").to_numpy(), "labels": table.column("label").to_numpy(), "folds": table.column("fold").to_numpy(),
             "lists": np.cumsum(np.concatenate([[0], np.diff(place) != 0])), "weights": draws,
             "bins": binned([table.column(f"x{i}").combine_chunks() for i in range(n_features)], edges),
-            "scores": np.zeros((n_models, n)), "grads": np.zeros((n_models, n)), "hess": np.zeros((n_models, n)),
+            "scores": np.zeros((0, n)), "grads": np.zeros((0, n)), "hess": np.zeros((0, n)),
         })
 
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,12 +279,15 @@ def packed(rows: DataFrame, features: Sequence[str], edges: list[np.ndarray], n_
         for batch in batches:
             held.append(batch)
             table = pa.Table.from_batches(held).combine_chunks()
-            if table.num_rows >= CHUNK:  # cut where the last list begins
+            if table.num_rows >= size:  # cut where lists begin
                 names = list(zip(table.column("list").to_pylist(), table.column("dealt").to_pylist(), strict=True))
-                cut = next(i for i in range(len(names) - 1, -1, -1) if i == 0 or names[i - 1] != names[-1])
-                if cut:
-                    yield chunk_of(table.slice(0, cut).to_batches())
-                    held = table.slice(cut).to_batches()
+                begins = [i for i in range(1, len(names)) if names[i - 1] != names[i]]
+                at = 0
+                while len(names) - at >= size and (more := begins[bisect.bisect_right(begins, at) :]):
+                    cut = more[max(0, bisect.bisect_right(more, at + size) - 1)]  # the last that fits, or else the next
+                    yield chunk_of(table.slice(at, cut - at).to_batches())
+                    at = cut
+                held = table.slice(at).to_batches()
         if sum(b.num_rows for b in held):
             yield chunk_of(held)
 
@@ -392,7 +401,7 @@ def stepped(state: DataFrame, specs: Sequence[Spec], last: list[Tree] | None, st
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk in unpacked(batch):
-                scores = chunk["scores"].copy()
+                scores = chunk["scores"].copy() if len(chunk["scores"]) else np.zeros((len(specs), len(chunk["keys"])))
                 if last is not None:
                     add_trees(scores, last, specs, chunk["bins"])
                 grads, hess = rules.gradients(chunk, scores, specs, range(len(specs)), step)

@@ -93,6 +93,19 @@ def test_trees_do_not_depend_on_the_layout(table, monkeypatch):
     assert any((t.feature > 0).any() for s in many.trees for t in s)
 
 
+def test_many_models_make_chunks_of_few_rows(table, monkeypatch):
+    weights = [bootstrap.poisson_weight(F.col("parcel_id"), run) for run in range(6)]
+    specs = [B.Spec(2, 0.1, 42 + run) for run in range(6)]
+    args = table, FEATURES, specs, 2, "logistic"
+    one = B.train(*args, weights=weights, least_child=1.0)
+    monkeypatch.setattr(B, "CHUNK", 128)
+    monkeypatch.setattr(B, "CELLS", 60)
+    state = B.packed(table, FEATURES, one.edges, 6, weights, "parcel_id", "label", None, None).collect()
+    assert sum(r.n for r in state) == 240 and max(r.n for r in state) <= 10
+    assert sorted(np.concatenate([np.frombuffer(r.keys, np.int64) for r in state])) == list(range(240))
+    assert same(one, B.train(*args, weights=weights, least_child=1.0))
+
+
 def test_a_list_beyond_a_chunk_is_dealt(table, monkeypatch):
     monkeypatch.setattr(B, "CHUNK", 16)
     state = B.packed(table, FEATURES, B.bin_edges(table, FEATURES), 1, (), "parcel_id", "label", "block_id", "fold").collect()
