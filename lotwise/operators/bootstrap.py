@@ -40,10 +40,11 @@ def bootstrap_weights(df: DataFrame, runs: int = 100, key: str = "parcel_id") ->
 
 def bootstrap_scores(
     labelled: DataFrame, valid: DataFrame, features: Sequence[str], runs: int = 100, label: str = "proxy_label", key: str = "parcel_id",
-    n_estimators: int = 100, max_depth: int = 3, learning_rate: float = 0.05, seed: int = 42,
+    n_estimators: int = 100, max_depth: int = 3, learning_rate: float = 0.05, seed: int = 42, maxIter: int | None = None,
 ) -> DataFrame:
     """Scores (run, key, p) of a boosted classifier per draw, min-maxed per run. All draws grow side by side, each with its own
-    weights of the rows, and score ``valid`` in one scan."""
+    weights of the rows, and score ``valid`` in one scan. ``maxIter`` is another name for ``n_estimators``."""
+    n_estimators = n_estimators if maxIter is None else maxIter
     specs = [boosting.Spec(max_depth, learning_rate, seed + run) for run in range(runs)]
     weights = [poisson_weight(F.col(key), run) for run in range(runs)]
     model = boosting.train(labelled, features, specs, n_estimators, "logistic", key, label, weights=weights, least_child=1.0)
