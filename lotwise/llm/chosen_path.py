@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
 from lotwise.llm.common import GOLDEN, Sieve, WordHashes, col, free_names, mix, pieces, rolled, starts_of
-from lotwise.session import cut_lineage, materialise
+from lotwise.session import materialise
 
 TREES = 16
 LEVELS = 4          # minwise tokens of a tree's own
@@ -185,22 +185,36 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """``cls`` and ``label``, the least class reachable, for the ends of ``links`` (a, b).
 
-    Each round a class takes the least label of its neighbours, then the label of its label; rounds grow with the
-    logarithm of the longest chain, about.
+    Each round a class points to the least of itself and its neighbours, pointers are followed to their end, and the links
+    between the ends are the next round's: a link within one component is read once, however many rounds follow.
     """
-    edges = materialise(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    labels = cut_lineage(edges.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "cls"))
+    known = lambda c: roots.select(F.col("cls").alias(c), F.col("label").alias(f"label_{c}"))
+    edges, labels = materialise(links.select("a", "b").distinct(), "links"), None
     while True:
-        told = edges.join(labels, edges["b"] == labels["cls"]).groupBy("a").agg(F.min("label").alias("told"))
-        near = labels.join(told, labels["cls"] == told["a"]).select("cls", "label", F.least("label", "told").alias("low"))
-        up = labels.select(F.col("cls").alias("low"), F.col("label").alias("above"))
-        step = cut_lineage(near.join(up, "low").select("cls", "label", F.least("low", "above").alias("new")))
-        changed = not step.where("label != new").isEmpty()
-        labels = step.select("cls", F.col("new").alias("label"))
-        if not changed:
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        roots = followed(both.groupBy(F.col("a").alias("cls")).agg(F.least(F.col("a"), F.min("b")).alias("label")))
+        if labels is None:
+            labels = roots
+        else:
+            up = roots.select(F.col("cls").alias("label"), F.col("label").alias("above"))
+            labels = materialise(labels.join(up, "label", "left").select("cls", F.coalesce("above", "label").alias("label")), "labels")
+        ends = edges.join(known("a"), "a").join(known("b"), "b").where("label_a != label_b")
+        edges = materialise(ends.select(F.least("label_a", "label_b").alias("a"), F.greatest("label_a", "label_b").alias("b")).distinct(), "links")
+        if edges.isEmpty():
             return labels
 
 
+def followed(pointers: DataFrame) -> DataFrame:
+    """``cls`` and the ``label`` at the end of its pointers, which never rise; the steps double each round."""
+    pointers = materialise(pointers, "pointers")
+    while True:
+        up = pointers.select(F.col("cls").alias("label"), F.col("label").alias("above"))
+        step = materialise(pointers.join(up, "label").select("cls", "label", "above"), "pointers")
+        if step.where("label != above").isEmpty():
+            return pointers
+        pointers = step.select("cls", F.col("above").alias("label"))
+
+
 def crossing(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     """Those of ``pairs`` whose ends are not yet in one component."""
     one, two = (labels.select(F.col("cls").alias(c), F.col("label").alias(f"label_{c}")) for c in "ab")
@@ -212,7 +226,8 @@ def confirmed_in_blocks(large: DataFrame, labels: DataFrame, classes: DataFrame,
     """Links (a, b) between components, among the members (path, cls) of nodes that stayed large.
 
     Nodes that share members are one group. Those of its members outside its largest component are the query set; all members
-    are compared with all of it, in blocks of about ``BLOCK`` by ``BLOCK``, so a group is never in one task, and only links leave a task.
+    are compared with all of it, in blocks of about ``BLOCK`` by ``BLOCK``, so a group is never in one task. Only links leave a task,
+    of a block no more than join its components: one between components that earlier links of the block have joined adds nothing.
     """
     pivots = large.groupBy("path").agg(F.min("cls").alias("a"))
     group = components(large.join(pivots, "path").where("cls != a").select("a", F.col("cls").alias("b"))).withColumnRenamed("label", "grp")
@@ -230,12 +245,18 @@ def confirmed_in_blocks(large: DataFrame, labels: DataFrame, classes: DataFrame,
     both = queries.unionByName(rest).withColumn("at", F.xxhash64("grp", "rows", "cols")).select("at", "side", *data)
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, asked, signs = None, [], None
+        at, asked, signs, above = None, [], None, {}
+
+        def root(label: bytes) -> bytes:
+            while label in above:
+                label = above[label]
+            return label
+
         for batch in batches:
             found = []
             for key, side, label, cls, sig, hashes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if key != at:
-                    at, asked, signs = key, [], None  # a block's queries come first
+                    at, asked, signs, above = key, [], None, {}  # a block's queries come first
                 if side == 0:
                     asked.append((label, cls, np.frombuffer(sig, np.uint8), np.frombuffer(hashes, np.uint64)))
                     continue
@@ -245,7 +266,8 @@ def confirmed_in_blocks(large: DataFrame, labels: DataFrame, classes: DataFrame,
                     signs = np.array([x[2] for x in asked])
                 mine = np.frombuffer(hashes, np.uint64)
                 for i in np.flatnonzero((signs == np.frombuffer(sig, np.uint8)).sum(1) >= LEAST_AGREE).tolist():
-                    if asked[i][0] != label and similar(mine, asked[i][3], percent):
+                    if (mine_at := root(label)) != (other := root(asked[i][0])) and similar(mine, asked[i][3], percent):
+                        above[max(mine_at, other)] = min(mine_at, other)
                         found.append(sorted((cls, asked[i][1])))
             yield pa.RecordBatch.from_arrays([pa.array([f[j] for f in found], pa.binary()) for j in (0, 1)], ["a", "b"])
 

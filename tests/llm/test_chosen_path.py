@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from lotwise.llm import chosen_path as C
 
@@ -75,6 +76,32 @@ def test_long_chains_are_one_component(spark):
     assert got == {**{i: 0 for i in range(61)}, 100: 100, 101: 100}
 
 
+def test_links_within_a_component_are_read_once(spark, monkeypatch):
+    r = random.Random(8)
+    names = [i.to_bytes(2, "big") * 8 for i in r.sample(range(60000), 300)]
+    links = [(names[i], names[i + 1]) for i in range(299) if i != 150] + [(a, b) for a in names[:40] for b in names[:40] if a < b]
+    written = []
+    real = C.materialise
+    monkeypatch.setattr(C, "materialise", lambda df, label: (out := real(df, label), written.append(out.count()) if label == "links" else None)[0])
+    got = {bytes(x.cls): bytes(x.label) for x in C.components(spark.createDataFrame(links, "a binary, b binary")).collect()}
+    assert got == {n: min(names[:151] if i <= 150 else names[151:]) for i, n in enumerate(names)}
+    assert written[-1] == 0 and sum(written[1:]) < written[0] / 4
+
+
+def test_a_block_gives_no_more_links_than_join_its_components(spark, monkeypatch):
+    monkeypatch.setattr(C, "SMALL", 2)
+    base = [f"w{i}" for i in range(120)]
+    rows = [(i, " ".join(base[:i] + [f"e{i}"] + base[i + 1 :])) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    one = C.sketches(docs, "doc_id", "text", 2).where("cls is not null")
+    classes = one.select("cls", F.col("id").alias("rep"), "tokens", "sig")
+    sets = spark.createDataFrame([(x, s.tobytes()) for s in C.shingle_sets([t for _, t in rows], C.WordHashes(), 2) for x in [C.digest(s)]], "cls binary, hashes binary")
+    large = classes.select(F.lit(1).cast("long").alias("path"), "cls")
+    labels = spark.createDataFrame([], "cls binary, label binary")
+    links = [(bytes(x.a), bytes(x.b)) for x in C.confirmed_in_blocks(large, labels, classes, sets, 80).collect()]
+    assert len(links) == 59 and {c for x in links for c in x} == {bytes(x.cls) for x in classes.collect()}
+
+
 def test_one_of_each_group_stays(spark):
     r = random.Random(5)
     rows = list(enumerate(family(r, [f"w{i}" for i in range(200)], 6, 2))) + [(20, "a lone text of some words"), (20, "a lone text of some words"), (21, None), (None, "x y")]
