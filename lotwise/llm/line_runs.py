@@ -19,6 +19,7 @@ Other columns stay; those named as in ``ADDED`` are replaced. Ids are whole numb
 
 from __future__ import annotations
 
+import itertools
 import uuid
 from collections.abc import Iterable, Iterator
 from functools import reduce
@@ -187,7 +188,7 @@ def without_repeats(
             at = pa.array(doc[ok])
             yield pa.RecordBatch.from_arrays([rows.column(0).take(at), rows.column(1).take(at), a.take(pa.array(ok)), b.take(pa.array(ok))], ["id", "v", "a", "b"])
 
-    id_, v, gone_, maybe_, got_, id2_, v2_ = free_names(docs, "id_", "v_", "gone_", "maybe_", "got_", "id2_", "v2_")
+    id_, v, gone_, got_, id2_, v2_ = free_names(docs, "id_", "v_", "gone_", "got_", "id2_", "v2_")
     version = F.xxhash64(F.coalesce(col(text_col), F.lit("")))
     short = docs.select(col(id_col).cast("long").alias("id"), version.alias("v"), col(text_col).alias("text"))
     held = short.mapInArrow(candidates, "id long, v long, a long, b long").distinct()
@@ -200,10 +201,13 @@ def without_repeats(
     def maybe(h: pd.Series) -> pd.Series:
         return pd.Series(touched.value.passes(h.to_numpy().view(np.uint64)))
 
-    @F.arrow_udf("n_lines long, n_dropped long, kept string")
-    def cut(ids: pa.Array, texts: pa.Array, lost_here: pa.Array) -> pa.Array:
+    def cut_rows(ids: pa.Array, texts: pa.Array, lost_here: Iterable[list | None], where: np.ndarray | None = None) -> pa.Array:
+        """Null but at ``where``, if that is given."""
         n, dropped, kept = [], [], []
-        for i, text, lost in zip(ids.to_pylist(), bytes_of(texts), lost_here.to_pylist(), strict=True):
+        for i, text, lost, here in zip(ids.to_pylist(), bytes_of(texts), lost_here, itertools.repeat(True) if where is None else where):  # noqa: B905
+            if not here:
+                n.append(None), dropped.append(None), kept.append(None)
+                continue
             out = {np.array([x["a"], x["b"]], np.int64).tobytes() for x in lost or ()}
             lines = text.split(b"\n")
             stay = [x for x, h in zip(lines, keys_of(text, min_chars), strict=True) if h is None or h not in out and hot.value.get(h, i) == i]
@@ -213,13 +217,21 @@ def without_repeats(
         arrays = [pa.array(n, pa.int64()), pa.array(dropped, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())]
         return pa.StructArray.from_arrays(arrays, names=["n_lines", "n_dropped", "kept"])
 
+    @F.arrow_udf("n_lines long, n_dropped long, kept string")
+    def cut(ids: pa.Array, texts: pa.Array, lost_here: pa.Array) -> pa.Array:
+        return cut_rows(ids, texts, lost_here.to_pylist())
+
+    @F.arrow_udf("n_lines long, n_dropped long, kept string")
+    def cut_clean(ids: pa.Array, texts: pa.Array, hashes: pa.Array) -> pa.Array:
+        return cut_rows(ids, texts, itertools.repeat(None), ~touched.value.passes(hashes.to_numpy().view(np.uint64)))
+
     rows = docs.withColumns({id_: col(id_col).cast("long"), v: version})
-    rows = rows.withColumn(maybe_, maybe(own(F.col(id_), F.col(v))))
-    none = F.lit(None).cast(gone.schema["gone"].dataType)
-    clean = rows.where(~F.col(maybe_)).withColumn(gone_, none)
+    # One Python worker per task tests a row and cuts it, as each holds much memory; a nondeterministic function is not worked out twice.
+    hashed = own(F.col(id_), F.col(v))
+    clean = rows.withColumn(got_, cut_clean.asNondeterministic()(F.col(id_), col(text_col), hashed)).where(F.col(f"{got_}.n_lines").isNotNull())
     named = gone.select(F.col("id").alias(id2_), F.col("v").alias(v2_), F.col("gone").alias(gone_))
-    other = rows.where(F.col(maybe_)).join(named, F.col(id_).eqNullSafe(F.col(id2_)) & (F.col(v) == F.col(v2_)), "left")
-    both = clean.unionByName(other.drop(id2_, v2_))
-    done = both.withColumn(got_, cut(F.col(id_), col(text_col), F.col(gone_)))
+    other = rows.where(maybe(hashed)).join(named, F.col(id_).eqNullSafe(F.col(id2_)) & (F.col(v) == F.col(v2_)), "left")
+    other = other.withColumn(got_, cut(F.col(id_), col(text_col), F.col(gone_)))
+    done = clean.unionByName(other.drop(id2_, v2_, gone_))
     stay = [col(c) for c in docs.columns if c.lower() not in ADDED]
     return done.select(*stay, *[F.col(f"{got_}.{c}").alias(c) for c in ADDED])

@@ -85,3 +85,11 @@ def test_query_over_the_table(spark, sf):
     got = {r.doc_id: (r.n_lines, r.n_dropped, r.kept_sha256) for r in op12_line_runs(spark, sf).collect()}
     assert got == {i: (n, d, hashlib.sha256(k.encode()).hexdigest()) for i, n, d, k in brute(rows)}
     assert any(d for _, d, _ in got.values())
+
+
+def test_no_task_needs_two_python_workers(spark):
+    df = spark.createDataFrame([(i, f"text {i}\n" + "a line of more than forty characters, in all of them") for i in range(9)], "doc_id long, text string")
+    plan = R.without_repeats(df)._jdf.queryExecution().optimizedPlan().toString()
+    clean, other = plan.split("\n:- ")[-1].split("\n+- ", 1)  # the sides of the union
+    assert plan.lstrip().startswith("Union") and clean.count("ArrowEvalPython") == 1
+    assert other.split("Join", 1)[0].count("ArrowEvalPython") == 1 and other.split("Join", 1)[1].count("ArrowEvalPython") <= 1
