@@ -69,3 +69,28 @@ def test_spans_name_their_source(spark):
 
 def test_no_rows(spark):
     assert run(spark, [], 20) == []
+
+
+def test_frequent_anchors_change_nothing(spark, monkeypatch):
+    rows = made(5, 40, [f"w{i}" for i in range(60)])
+    want = sorted(run(spark, rows, 20), key=repr)
+    monkeypatch.setattr(D, "HOT", 10**9)  # every anchor has more than this share of the places: edges go one by one
+    assert sorted(run(spark, rows, 20), key=repr) == want
+
+
+def test_neighbouring_windows_are_moved_as_one_row(spark):
+    passage = " ".join(f"p{i}" for i in range(2000))
+    docs = spark.createDataFrame([(i, passage) for i in range(4)], "doc_id long, text string").repartition(4, "doc_id")
+    rows = D.keyed(docs, "doc_id", "text")
+    sieve = D.Sieve.of(D.repeated_anchors(rows, 20), 20)
+    moved = D.edges(rows, sieve, D.np.zeros(0, D.np.uint64), 20)
+    assert moved.count() < 4 * 1981 / 3
+    assert sorted((r.key, r.start, r.stop, r.source, r.source_pos) for r in D.repeated_spans(docs).collect()) == [(i, 0, 2000, 0, 0) for i in (1, 2, 3)]
+
+
+def test_spans_end_where_the_source_forks(spark):
+    a = [f"p{i}" for i in range(60)]
+    docs = [(1, a), (2, a), (3, ["q"] + a[30:] + ["r"]), (4, ["q"] + a[30:] + ["s"])]  # docs 3 and 4 come to the middle of doc 1 by another word
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string").repartition(4, "doc_id")
+    spans = sorted((r.key, r.start, r.stop, r.source, r.source_pos) for r in D.repeated_spans(df, k=5).collect())
+    assert [s for s in spans if s[0] == 2] == [(2, 0, 34, 1, 0), (2, 30, 60, 1, 30)]
