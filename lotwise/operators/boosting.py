@@ -7,7 +7,8 @@ models a chunk has fewer rows (``CELLS``), but for a list that has more.
 
 All models (folds, combinations, draws) grow together. Per tree each chunk first adds the last tree to its scores and takes the
 gradients, which is kept for the levels of the tree; per level each task sums its chunks' gradients by node, feature and bin, the
-sums of all tasks are added by (model, node) in a shuffle, and one row per (model, node), its best split, comes back to the driver. The
+sums of all tasks are added by (model, node), by the driver while they are at most ``DRIVER_SUMS`` bytes and else in a shuffle whose one
+row per (model, node), its best split, comes back to the driver. The
 state is written to the shared folder every ``KEEP`` trees; between them a lost part is made anew from the last written one. Rows
 that fill one chunk only have no sums to add up: there the models are dealt over the tasks, and each grows its own from the chunk
 by the same steps. Gradients are rounded to a fixed grid, so sums, and with them the trees, do not depend on how the rows are laid out.
@@ -38,6 +39,7 @@ BINS = 64
 KEEP = 20
 PENALTY = 1.0
 GRID = float(1 << 30)  # gradients are multiples of 1 / GRID
+DRIVER_SUMS = 1 << 25  # bytes of sums of a level that the driver adds up itself
 ALL_LEFT = BINS  # threshold of a node that is not split
 
 
@@ -305,7 +307,8 @@ def ndcg_gradients(scores: np.ndarray, labels: np.ndarray, lists: np.ndarray, ke
     n = len(scores)
     if not n:
         return np.zeros(0), np.zeros(0)
-    order = np.lexsort((keys, -scores, lists))
+    by_key = bool(np.all((lists[1:] != lists[:-1]) | (keys[1:] >= keys[:-1])))  # as chunks are: sorts are stable, so the key needs none
+    order = np.lexsort((-scores, lists) if by_key else (keys, -scores, lists))
     firsts = np.flatnonzero(np.concatenate([[True], np.diff(lists) != 0]))  # rows come by list
     n_lists = len(firsts)
     which = np.repeat(np.arange(n_lists), np.diff(np.append(firsts, n)))
@@ -315,21 +318,30 @@ def ndcg_gradients(scores: np.ndarray, labels: np.ndarray, lists: np.ndarray, ke
     own = np.where(rank < k, discounts[np.minimum(rank, k - 1)], 0.0)
     positives = np.add.reduceat(labels, firsts).astype(np.int64)
     ideal = np.concatenate([[0.0], np.cumsum(discounts)])[np.minimum(positives, k)]
-    head_y, head_s, there = np.zeros((n_lists, k)), np.zeros((n_lists, k)), np.zeros((n_lists, k), bool)
-    top = np.flatnonzero(rank < k)
-    head_y[which[top], rank[top]], head_s[which[top], rank[top]], there[which[top], rank[top]] = labels[top], scores[top], True
-    sign = labels[:, None] - head_y[which]
-    with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
-        weight = np.abs(discounts[None, :] - own[:, None]) / ideal[which][:, None]
-        rho = 1.0 / (1.0 + np.exp(sign * (scores[:, None] - head_s[which])))
-    weight = np.where(there[which] & (ideal[which] > 0)[:, None], weight, 0.0)
-    pull = sign * rho * weight
-    bend = np.abs(sign) * rho * (1.0 - rho) * weight
-    grad, hess = pull.sum(1), bend.sum(1)
-    behind = (rank >= k)[:, None]
-    back_g, back_h = np.add.reduceat(pull * behind, firsts, axis=0), np.add.reduceat(bend * behind, firsts, axis=0)
-    grad[top] -= back_g[which[top], rank[top]]
-    hess[top] += back_h[which[top], rank[top]]
+    width = min(k, int(rank.max()) + 1)
+    heads = np.full((width, n_lists), -1)  # the row at a rank of a list
+    top = np.flatnonzero(rank < width)
+    heads[rank[top], which[top]] = top
+    best = ideal[which]
+    behind, some_behind = rank >= k, bool((rank >= k).any())
+    grad, hess, back = np.zeros(n), np.zeros(n), np.zeros((2, width, n_lists))
+    for j in range(width):  # rank by rank, so that tables stay as small as the rows; only pairs of different labels pull
+        head = heads[j][which]
+        at = np.flatnonzero((head >= 0) & (best > 0) & (labels != labels[head]))
+        head = head[at]
+        sign = labels[at] - labels[head]
+        with np.errstate(over="ignore"):
+            rho = 1.0 / (1.0 + np.exp(sign * (scores[at] - scores[head])))
+        weight = np.abs(discounts[j] - own[at]) / best[at]
+        pull, bend = sign * rho * weight, np.abs(sign) * rho * (1.0 - rho) * weight
+        grad[at] += pull
+        hess[at] += bend
+        if some_behind:
+            far = behind[at]
+            back[0, j], back[1, j] = (np.bincount(which[at[far]], x[far], n_lists) for x in (pull, bend))
+    if some_behind:
+        grad[top] -= back[0][rank[top], which[top]]
+        hess[top] += back[1][rank[top], which[top]]
     return grad, hess
 
 
@@ -456,17 +468,29 @@ class Level:
         return best_splits(self.models, self.nodes, sums, np.repeat(self.chosen, 1 << self.level, axis=0), least)
 
 
-def splits_over_tasks(state: DataFrame, level: Level, least: float) -> list[tuple]:
-    """The best split of every node of a level; one row per model and node."""
+def splits_over_tasks(state: DataFrame, level: Level, least: float, chunks: int) -> list[tuple]:
+    """The best split of every node of a level; one row per model and node. While the sums of all tasks, at most one of each chunk, are
+    small, the driver adds them up, which saves a shuffle per level."""
     chosen = dict(zip(level.deep.tolist(), level.chosen, strict=True))
 
     def part(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, len(level.models), level.chosen.shape[1], BINS))
+        total = None
         for batch in batches:
             for chunk in unpacked(batch):
-                total += level.sums(chunk["bins"], chunk["grads"], chunk["hess"])
-        each = np.ascontiguousarray(total.transpose(1, 0, 2, 3))
-        yield pa.RecordBatch.from_arrays([pa.array(level.models, pa.int32()), pa.array(level.nodes, pa.int32()), pa.array([x.tobytes() for x in each], pa.binary())], ["model", "node", "sums"])
+                sums = level.sums(chunk["bins"], chunk["grads"], chunk["hess"])
+                total = sums if total is None else total + sums
+        if total is not None:
+            each = np.ascontiguousarray(total.transpose(1, 0, 2, 3))
+            yield pa.RecordBatch.from_arrays([pa.array(level.models, pa.int32()), pa.array(level.nodes, pa.int32()), pa.array([x.tobytes() for x in each], pa.binary())], ["model", "node", "sums"])
+
+    sums = state.mapInArrow(part, "model int, node int, sums binary")
+    shape = (2, len(level.models), level.chosen.shape[1], BINS)
+    if chunks * math.prod(shape) * 8 <= DRIVER_SUMS:
+        place = {x: i for i, x in enumerate(zip(level.models.tolist(), level.nodes.tolist(), strict=True))}
+        total = np.zeros(shape)
+        for m, node, one in rows_of(sums.toArrow()):
+            total[:, place[m, node]] += np.frombuffer(one).reshape(2, *shape[2:])
+        return rows_of(level.splits(total, least))
 
     def added(key: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, node = (int(k.as_py()) for k in key)
@@ -476,7 +500,7 @@ def splits_over_tasks(state: DataFrame, level: Level, least: float) -> list[tupl
                 total += np.frombuffer(one).reshape(total.shape)
         yield best_splits(np.array([m]), np.array([node]), total[:, None], chosen[m][None], least)
 
-    found = state.mapInArrow(part, "model int, node int, sums binary").groupBy("model", "node").applyInArrow(added, SPLIT_SCHEMA)
+    found = sums.groupBy("model", "node").applyInArrow(added, SPLIT_SCHEMA)
     return rows_of(found.toArrow())
 
 
@@ -502,7 +526,7 @@ def grow(specs: Sequence[Spec], n_features: int, step: int, rules: Rules, splits
     return trees
 
 
-def grown_over_tasks(state: DataFrame, path: str, specs: Sequence[Spec], n_features: int, n_trees: int, rules: Rules) -> list[list[Tree]]:
+def grown_over_tasks(state: DataFrame, path: str, specs: Sequence[Spec], n_features: int, n_trees: int, rules: Rules, chunks: int) -> list[list[Tree]]:
     """Chunks over the tasks: a pass per level."""
     spark = state.sparkSession
     trees: list[list[Tree]] = []
@@ -515,7 +539,7 @@ def grown_over_tasks(state: DataFrame, path: str, specs: Sequence[Spec], n_featu
             state = spark.read.schema(STATE).parquet(path)
         else:
             state = new.persist()
-        trees.append(grow(specs, n_features, step, rules, lambda level: splits_over_tasks(state, level, rules.least_child)))
+        trees.append(grow(specs, n_features, step, rules, lambda level: splits_over_tasks(state, level, rules.least_child, chunks)))
         if held is not None:
             held.unpersist()
         held = state
@@ -568,5 +592,8 @@ def train(
     n_chunks = state.count()
     if n_chunks == 0:
         return Boosted(specs, features, edges, [[Tree.empty(s.depth) for s in specs] for _ in range(n_trees)])
-    grown = grown_by_model if n_chunks == 1 else grown_over_tasks
-    return Boosted(specs, features, edges, grown(state, path, specs, len(features), n_trees, rules))
+    if n_chunks == 1:
+        trees = grown_by_model(state, path, specs, len(features), n_trees, rules)
+    else:
+        trees = grown_over_tasks(state, path, specs, len(features), n_trees, rules, n_chunks)
+    return Boosted(specs, features, edges, trees)

@@ -192,3 +192,11 @@ def test_shapley_values_of_trees_are_exact(table):
         mean = 0.3 * sum(m for _, m in each)
         assert got[row] == pytest.approx(list(want), abs=1e-9)
         assert sum(got[row]) == pytest.approx(score[row] - mean, abs=1e-9) and model.expected() == pytest.approx(mean, abs=1e-9)
+
+
+def test_sums_added_by_the_driver_or_in_a_shuffle_give_the_same_trees(table, monkeypatch):
+    monkeypatch.setattr(B, "CHUNK", 64)
+    specs = [B.Spec(3, 0.1, 42, 0), B.Spec(2, 0.3, 7)]
+    by_driver = B.train(table, FEATURES, specs, 3, "ndcg", fold="fold")
+    monkeypatch.setattr(B, "DRIVER_SUMS", 0)
+    assert same(by_driver, B.train(table, FEATURES, specs, 3, "ndcg", fold="fold"))
