@@ -288,27 +288,26 @@ def repacked(chunk: dict) -> pa.RecordBatch:
 
 def packed(rows: DataFrame, features: Sequence[str], edges: list[np.ndarray], n_models: int, weights: Sequence[Column], key: str, label: str, query: str | None, fold: str | None) -> DataFrame:
     """The table in chunks, without scores yet."""
-    named = rows.select(
-        F.col(key).cast("long").alias("key"), F.col(label).cast("double").alias("label"),
-        (F.col(fold).cast("int") if fold else F.lit(-1)).alias("fold"),
-        F.coalesce(F.concat(F.lit("="), F.col(query or key).cast("string")), F.lit("")).alias("list"),
-        F.array(*[w.cast("double") for w in weights]).cast("array<double>").alias("draws"), *[F.col(f).cast("double").alias(f"x{i}") for i, f in enumerate(features)],
-    )
+    named = rows.withColumn("_list", F.coalesce(F.concat(F.lit("="), F.col(query or key).cast("string")), F.lit("")))
     if query:
-        sizes = named.groupBy("list").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > CHUNK)
-        pieces = F.ceil(F.coalesce("size", F.lit(1)) / CHUNK).cast("int")
-        named = named.join(sizes, "list", "left").withColumn("pieces", pieces).withColumn("dealt", F.pmod(F.xxhash64("key"), F.col("pieces")).cast("int")).drop("size")
+        sizes = named.groupBy("_list").agg(F.count(F.lit(1)).alias("_size")).where(F.col("_size") > CHUNK)
+        pieces = F.ceil(F.coalesce("_size", F.lit(1)) / CHUNK).cast("int")
+        dealt = F.pmod(F.xxhash64(F.col(key).cast("long")), F.col("_pieces")).cast("int")
+        named = named.join(sizes, "_list", "left").withColumn("_pieces", pieces).withColumn("_dealt", dealt).drop("_size")
     else:
-        named = named.withColumns({"pieces": F.lit(1), "dealt": F.lit(0)})
+        named = named.withColumns({"_pieces": F.lit(1), "_dealt": F.lit(0)})
     n_rows = rows.count()
     size = max(1, min(CHUNK, CELLS // max(1, n_models))) if n_rows > CHUNK else CHUNK  # rows that fill one chunk stay one
     share = CHUNK // max(1, min(4, 32 // max(1, n_models)))  # rows of a task; with many models, its sums are large
     if n_rows <= WHOLE:
-        share = max(1, CHUNK // 4)
-    parts = max(1, -(-n_rows // share)) if n_rows > CHUNK else 1
+        share = max(1, CHUNK // 16)
+    parts = max(1, -(-n_rows // share)) if n_rows > min(share, CHUNK) else 1
     n_features = len(features)
-    order = ["list", "dealt", "key", "label", *[f"x{i}" for i in range(n_features)]]  # rows of one key in any order would be another result
-    placed = named.repartition(parts, "list", "dealt").sortWithinPartitions(*order)
+    own = [F.col(key).cast("long").alias("key"), F.col(label).cast("double").alias("label"), *[F.col(f).cast("double").alias(f"x{i}") for i, f in enumerate(features)]]
+    placed = named.repartition(parts, "_list", "_dealt").sortWithinPartitions("_list", "_dealt", *own).select(  # rows of one key in any order would be another result
+        *own, F.col("_list").alias("list"), F.col("_pieces").alias("pieces"), F.col("_dealt").alias("dealt"), (F.col(fold).cast("int") if fold else F.lit(-1)).alias("fold"),
+        F.array(*[w.cast("double") for w in weights]).cast("array<double>").alias("draws"),  # only here, so that they are not shuffled
+    )
 
     def chunk_of(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
         table = pa.Table.from_batches(batches).combine_chunks()
