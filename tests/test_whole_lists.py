@@ -83,3 +83,17 @@ def test_a_model_by_itself_has_the_trees_of_the_passes_over_all_chunks(table, mo
         several = B.train(*args, fold="fold", weights=weights, least_child=0.5)
         monkeypatch.setattr(B, "WHOLE", 0)
         assert same(one, several) and same(one, B.train(*args, fold="fold", weights=weights, least_child=0.5))
+
+
+def test_rows_of_many_chunks_are_grown_without_a_pass_per_level(table, monkeypatch):
+    monkeypatch.setattr(B, "CHUNK", 64)
+    monkeypatch.setattr(B, "splits_over_tasks", None)
+    assert len(B.train(table, FEATURES, [B.Spec(2, 0.5, 42, f) for f in range(3)], 2, fold="fold").trees) == 2
+
+
+def test_weights_of_the_draws_are_made_after_the_shuffle(table, monkeypatch):
+    monkeypatch.setattr(B, "CHUNK", 64)
+    weights = [bootstrap.poisson_weight(F.col("parcel_id"), run) for run in range(2)]
+    state = B.packed(table, FEATURES, B.bin_edges(table, FEATURES), 2, weights, "parcel_id", "label", None, None)
+    plan = state._jdf.queryExecution().executedPlan().toString()
+    assert "md5" in plan and plan.rindex("md5") < plan.index("Exchange")
